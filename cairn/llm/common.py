@@ -86,9 +86,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def group_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each run of ``counts`` rows of ``values`` (0 for an empty run)."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    out = np.zeros((len(counts), *values.shape[1:]), np.float64)
+    full = np.flatnonzero(counts > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values.astype(np.float64), starts_of(counts)[full], axis=0)
+    return out
 
 
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, packing, secrets, simhash, topk, toxicity
+from . import ann, language, lm, mixing, packing, secrets, simhash, substrings, topk, toxicity
 from .common import doc_mod, prepare, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), doc_mod(F.col("doc_id"), 3) == 1)
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_ann, op3_simhash, op4_toxicity, op5_mix, op6_language, op9_topk, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_pack, op2_ann, op3_simhash, op4_toxicity, op5_mix, op6_language, op7_lm, op8_substrings, op9_topk, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
