@@ -8,9 +8,10 @@ that Spark must sort are the anchors, not all bytes:
 1. Spark sorts (rank of the anchor, rank of the run's whole extent): unique ranks are done; within a pair all but the
    first run repeat an earlier one and are done as well. A task sends the first of each pair it has read, so a string
    that a third of all texts hold reaches the sort once for each task.
-2. For ranks with several extents the first run of each goes on at the next offset: the pair of 64-byte ranks at offsets
-   0 and 36 is the rank of a 100-byte string, past the threshold. Spark sorts these by (rank, document, position), and
-   all but the first of each are marked.
+2. For ranks with several extents the first run of each goes on: its starts are cut at multiples of 8 before the anchor,
+   and Spark sorts (rank of what the strings of a block share, rank of the block's extent), both pairs of 64-byte ranks.
+3. For what still has several extents, the pair of 64-byte ranks at offsets 0 and 36 is the rank of a 100-byte string,
+   past the threshold. Spark sorts these by (rank, document, position), and all but the first of each are marked.
 
 Marked strings are merged to spans and cut out of the texts. Documents are ordered by (doc_id, hash of the text); a null
 doc_id comes first.
@@ -29,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, spread, starts_of, text_bytes
+from .common import prepare, spread, starts_of, text_bytes
 
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of text whose ranks a task holds at once (some 60 times as much memory); longer texts are taken in parts.
 AT_ONCE = 1 << 20
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
-_ROW = "`doc` long, `key` long, `at` long"
+#: size of a run: starts in it, with 256 times the anchor's distance from the first; less than 0: that many marked starts.
+_SCHEMA = "rank long, extent long, doc long, key int, at int, size int"
+_NAMES = ["rank", "extent", "doc", "key", "at", "size"]
+BLOCK = 8
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,8 +99,44 @@ def _parts(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, in
         yield own
 
 
+def _batch(rank, extent, doc, key, at, size) -> pa.RecordBatch:
+    cols = [rank.view(np.int64), extent.view(np.int64), doc.astype(np.int64), key.astype(np.int32), at.astype(np.int32), size.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES)
+
+
+def _marks(doc: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Rows of marked starts, those that touch merged; their rank deals them out by document."""
+    order = np.lexsort((at, key, doc))
+    doc, key, at, end = doc[order], key[order], at[order].astype(np.int64), (at + size)[order].astype(np.int64)
+    other = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+    # The furthest end so far within a document: shift documents apart, then a running maximum.
+    shift = np.cumsum(other) * np.int64(1 << 32)
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.append(True, (at + shift)[1:] > reach[:-1]))
+    last = np.append(first[1:], len(doc)) - 1
+    doc, key, end, at = doc[first], key[first], (reach - shift)[last], at[first]
+    return _batch(_pair(doc.astype(np.int64).view(np.uint64), key.astype(np.int64).view(np.uint64)), np.zeros(len(doc), np.uint64), doc, key, at, at - end)
+
+
+def _send(found: list[tuple[np.ndarray, ...]], docs: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of (rank, extent, row, at, size) the first of each (rank, extent); the others are marked."""
+    if not found:
+        return
+    rank, extent, of, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc, key = docs[of], keys[of]
+    order = np.lexsort((at, key, doc, extent, rank))
+    rank, extent, doc, key, at, size = (x[order] for x in (rank, extent, doc, key, at, size))
+    new = np.append(True, (rank[1:] != rank[:-1]) | (extent[1:] != extent[:-1]))
+    yield _batch(*(x[new] for x in (rank, extent, doc, key, at, size)))
+    # A repeat of the same document and position (rows that repeat) is no earlier string.
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = ~new & ~((doc == doc[lead]) & (key == key[lead]) & (at == at[lead]))
+    if later.any():
+        yield _marks(doc[later], key[later], at[later], size[later] & 255)
+
+
 def _first_runs(length: int):
-    """What a task sends: kind 0: the first run of each (rank, extent) read together; kind 1: a marked run."""
+    """Runs of every text by the rank of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,89 +152,67 @@ def _first_runs(length: int):
                     anchor, lo, hi = runs(joined[at : at + n], h32[at : at + n - ANCHOR + 1], length)
                     end = hi + length
                     middle = lo + (end - lo - 64) // 2
-                    extent = _pair(_pair(h64[at + lo], h64[at + middle]), _pair(h64[at + end - 64], ((anchor - lo) << 16 | (hi - lo)).astype(np.uint64)))
-                    found.append((h32[at + anchor], extent, np.full(len(lo), i), lo + (a - offsets[i]), hi - lo + 1))
-            if not found:
-                continue
-            rank, extent, of, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc, key = docs[of], keys[of]
-            order = np.lexsort((at, key, doc, extent, rank))
-            rank, extent, doc, key, at, size = (x[order] for x in (rank, extent, doc, key, at, size))
-            new = np.append(True, (rank[1:] != rank[:-1]) | (extent[1:] != extent[:-1]))
-            yield _batch(np.zeros(int(new.sum()), np.int32), rank[new], extent[new], doc[new], key[new], at[new], size[new])
-            # A repeat of the same document and position (rows that repeat) is no earlier string.
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = ~new & ~((doc == doc[lead]) & (key == key[lead]) & (at == at[lead]))
-            if later.any():
-                yield _spans(doc[later], key[later], at[later], size[later])
+                    packed = (anchor - lo) << 8 | (hi - lo + 1)
+                    extent = _pair(_pair(h64[at + lo], h64[at + middle]), _pair(h64[at + end - 64], packed.astype(np.uint64)))
+                    found.append((h32[at + anchor], extent, np.full(len(lo), i), lo + (a - offsets[i]), packed))
+            yield from _send(found, docs, keys)
 
     return run
 
 
-_SCHEMA = f"kind int, rank long, extent long, {_ROW}, size long"
-
-
-def _batch(kind, rank, extent, doc, key, at, size) -> pa.RecordBatch:
-    cols = [kind.astype(np.int32), rank.view(np.int64), extent.view(np.int64), doc, key, at.astype(np.int64), size.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "rank", "extent", "doc", "key", "at", "size"])
-
-
-def _spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """Marked starts as rows of kind 1, adjacent ones merged; dealt out by the document's hash."""
-    order = np.lexsort((at, key, doc))
-    doc, key, at, size = doc[order], key[order], at[order], size[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] > at[:-1] + size[:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    end = at[last] + size[last]
-    doc, key, at = doc[first], key[first], at[first]
-    return _batch(np.ones(len(first)), (doc.astype(np.int64).view(np.uint64) ^ key.view(np.uint64)), np.zeros(len(first), np.uint64), doc, key, at, end - at)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
     """Whole groups of equal rank of a partition sorted by rank, many at a time."""
-    held: list[dict[str, np.ndarray]] = []
+    held: list[list[np.ndarray]] = []
     count = 0
     for b in batches:
-        held.append({n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)})
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         count += b.num_rows
         if count >= rows:
-            all_ = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-            edge = int(np.searchsorted(all_["rank"], all_["rank"][-1]))
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            edge = int(np.searchsorted(whole[0], whole[0][-1]))
             if edge:
-                yield {n: c[:edge] for n, c in all_.items()}
-            held = [{n: c[edge:] for n, c in all_.items()}]
-            count = len(held[0]["rank"])
+                yield [c[:edge] for c in whole]
+            held = [[c[edge:] for c in whole]]
+            count = len(held[0][0])
     if held:
-        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _by_extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1: marked; of kind 2: the first run of an extent whose rank has several."""
+    """Marked rows, and the first run of each extent whose rank has several."""
     for g in _groups(batches):
-        passed = g["kind"] == 1
+        passed = g[5] < 0
         if passed.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[passed]) for c in g.values()], list(g))
-        g = {n: c[~passed] for n, c in g.items()}
-        if not len(g["rank"]):
+            yield _batch(*(c[passed] for c in g))
+        rank, extent, doc, key, at, size = (c[~passed] for c in g)
+        if not len(rank):
             continue
-        rank, extent, doc, key, at = (g[n] for n in ("rank", "extent", "doc", "key", "at"))
         new_rank = np.append(True, rank[1:] != rank[:-1])
         new = new_rank | np.append(True, extent[1:] != extent[:-1])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = ~new & ~((doc == doc[lead]) & (key == key[lead]) & (at == at[lead]))
         if later.any():
-            yield _spans(doc[later], key[later], at[later], g["size"][later])
+            yield _marks(doc[later], key[later], at[later], size[later] & 255)
         extents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_rank))[np.cumsum(new_rank) - 1]
-        fine = new & (extents > 1)
-        if fine.any():
-            out = {n: c[fine] for n, c in g.items()}
-            out["kind"] = np.full(int(fine.sum()), 2, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.values()], list(out))
+        more = new & (extents > 1)
+        if more.any():
+            yield _batch(*(c[more] for c in (rank, extent, doc, key, at, size)))
+
 
+def _blocks(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, starts and place of what they share, of each block of the runs."""
+    ahead, n = size >> 8, size & 255
+    low = ahead - n + 1  # distance of the anchor from the last start
+    first = low // BLOCK
+    count = ahead // BLOCK - first + 1
+    block = spread(first, count)
+    anchor, ahead, low = (np.repeat(x, count) for x in (at + ahead, ahead, low))
+    far, near = np.minimum(ahead, block * BLOCK + BLOCK - 1), np.maximum(low, block * BLOCK)
+    return anchor - far, (anchor - block * BLOCK - (anchor - far)) << 8 | (far - near + 1), anchor - block * BLOCK
 
-def _strings(length: int):
-    """rank, doc, key, at of every start in the runs of each text; within a batch only the first of a rank, others marked."""
+
+def _next(length: int, last: bool):
+    """From a text and the rows about it: the next ranks of its open runs, and its marks merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,64 +221,59 @@ def _strings(length: int):
             lists = b.column(3)
             counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
-            first, size = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            begin = starts_of(counts)
-            out: list[tuple[np.ndarray, ...]] = []
-            for i in range(len(docs)):
-                own = slice(begin[i], begin[i] + counts[i])
-                starts = np.unique(spread(first[own], size[own]))
+            at_all, size_all = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            row = np.repeat(np.arange(len(docs)), counts)
+            marked = size_all < 0
+            if marked.any():
+                yield _marks(docs[row[marked]], keys[row[marked]], at_all[marked], -size_all[marked])
+            found: list[tuple[np.ndarray, ...]] = []
+            for i in np.unique(row[~marked]).tolist():
+                own = ~marked & (row == i) if len(docs) < 2 else slice(*np.searchsorted(row, [i, i + 1]))
+                at, size = at_all[own], size_all[own]
+                at, size = at[size >= 0], size[size >= 0]
+                if last:
+                    first = np.unique(spread(at, size & 255))
+                    size = np.ones(len(first), np.int64)
+                    shared = first
+                else:
+                    first, size, shared = _blocks(at, size)
                 text = data[offsets[i] : offsets[i + 1]]
-                for at in range(0, len(text), AT_ONCE):
-                    inside = starts[(starts >= at) & (starts < at + AT_ONCE)]
-                    if len(inside):
-                        _, h64 = ranks(text[at : at + AT_ONCE + length])
-                        out.append((_pair(h64[inside - at], h64[inside - at + length - 64]), np.full(len(inside), i), inside))
-            if not out:
-                continue
-            rank, of, at = (np.concatenate(x) for x in zip(*out, strict=True))
-            doc, key = docs[of], keys[of]
-            order = np.lexsort((at, key, doc, rank))
-            rank, doc, key, at = rank[order], doc[order], key[order], at[order]
-            new = np.append(True, rank[1:] != rank[:-1])
-            zero = np.zeros(len(rank), np.uint64)
-            yield _batch(np.zeros(int(new.sum())), rank[new], zero[new], doc[new], key[new], at[new], np.ones(int(new.sum())))
-            if (~new).any():
-                yield _spans(doc[~new], key[~new], at[~new], np.ones(int((~new).sum()), np.int64))
+                for begin in range(0, len(text), AT_ONCE):
+                    here = (first >= begin) & (first < begin + AT_ONCE)
+                    if not here.any():
+                        continue
+                    _, h64 = ranks(text[begin : begin + AT_ONCE + 2 * length])
+                    p, core, n = first[here] - begin, shared[here] - begin, size[here]
+                    whole = length if last else length - BLOCK + 1
+                    rank = _pair(h64[core], h64[core + whole - 64])
+                    extent = np.zeros(len(p), np.uint64) if last else _pair(_pair(h64[p], h64[p + (n & 255) - 1 + length - 64]), n.astype(np.uint64))
+                    found.append((rank, extent, np.full(len(p), i), first[here], n))
+            yield from _send(found, docs, keys)
 
     return run
 
 
-def _by_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for g in _groups(batches):
-        new = np.append(True, g["rank"][1:] != g["rank"][:-1])
-        later = (g["kind"] == 1) | (~new)
-        # A row of kind 1 never leads a string: it is marked whatever stands before it.
-        string = g["kind"] == 0
-        if string.any():
-            own = np.flatnonzero(string)
-            r = g["rank"][own]
-            later[own] = np.append(False, r[1:] == r[:-1])
-        if later.any():
-            yield _spans(*(g[n][later] for n in ("doc", "key", "at", "size")))
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text, n_bytes, n_removed, n_spans, kept (bytes), spans (first byte, bytes) of every document."""
     if not 96 <= length <= 128:
         raise ValueError("this operator is built for lengths of 96 to 128 bytes")
     spark = docs.sparkSession
     prepare(spark)
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    # Which of the texts of one doc_id: 32 bits are enough to tell those apart.
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), key.alias("key"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    texts = rows.select("doc", "key", "text").where(F.octet_length("text") >= length)
-    sent = texts.mapInArrow(_first_runs(length), _SCHEMA)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = sent.repartition(n, "rank").sortWithinPartitions("rank", "extent", "doc", "key", "at")
-    first = cut(sorted_.mapInArrow(_by_extent, _SCHEMA))
-    runs_of = first.where("kind = 2").groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
-    more = texts.join(runs_of, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "key", "text", "runs").mapInArrow(_strings(length), _SCHEMA)
-    second = more.repartition(n, "rank").sortWithinPartitions("rank", "kind", "doc", "key", "at").mapInArrow(_by_rank, _SCHEMA)
-    marked = first.where("kind = 1").unionByName(second).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+
+    def sort(sent: DataFrame) -> DataFrame:
+        ordered = sent.repartition(n, "rank").sortWithinPartitions("rank", "extent", "doc", "key", "at")
+        left = ordered.mapInArrow(_by_extent, _SCHEMA)
+        return left.groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
+
+    # The three joins below read one exchange of the texts.
+    step = sort(rows.select("doc", "key", "text").where(F.octet_length("text") >= length).mapInArrow(_first_runs(length), _SCHEMA))
+    for last in (False, True):
+        step = sort(rows.join(step, ["doc", "key"]).select("doc", "key", "text", "runs", "doc_id").mapInArrow(_next(length, last), _SCHEMA))
+    marked = step.withColumnRenamed("runs", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone = np.zeros(len(text) + 1, np.int64)
                 for s in spans or ():
                     gone[s["at"]] += 1
-                    gone[s["at"] + s["size"] + length - 1] -= 1
+                    gone[s["at"] - s["size"] + length - 1] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 for x, v in zip(out, (len(text), int(gone.sum()), len(edges) // 2, text[~gone].tobytes(), [{"at": int(p), "size": int(q - p)} for p, q in edges.reshape(-1, 2)]), strict=True):
