@@ -1,0 +1,258 @@
+"""Each operator against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cairn.llm import ann, graph, language, lm, mixing, packing, secrets, simhash, substrings, topk, toxicity
+from cairn.llm.queries import TOKENIZER
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, part int, key string, n int"
+WORD = r"[^\x20\x09-\x0D]+"
+EN = "the quick brown fox jumps over the lazy dog while the old man reads a long story about rivers and hills number {} of them all, and then some more words follow here"
+DE = "der schnelle braune fuchs springt über den faulen hund während der alte mann eine lange geschichte liest nummer {} von allen, und dann folgen noch mehr wörter hier"
+
+
+def rows():
+    out = [(i, (EN if i % 2 else DE).format(i * 7919), "en" if i % 2 else "de", f"s{i % 3}") for i in range(40)]
+    out += [(100 + i, EN.format("same"), "en", "s0") for i in range(12)]
+    out += [(200, None, "en", "s1"), (201, "", None, "s1"), (202, " \t\n", "en", None), (203, "12 !! 34", "en", None), (204, "word " * 6000, "en", "s2"), (205, "Ünï çödé “quotes” ÀÉ", "de", "s2")]
+    out += [(300, EN.format(1), "en", "s0"), (300, EN.format(1), "en", "s0"), (None, "no id at all", "en", "s0")]
+    return [(*r, len(r[1]) if r[1] is not None else None, 5, 0.5, 1, "k", 3) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_packing_places_every_id_once(docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    got = packing.pack(docs, TOKENIZER).collect()
+    want = Counter()
+    for r in rows():
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        for p, at in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[at : at + 2048], "<u4")
+            want[r[0], p, at, len(own), zlib.crc32(own.tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0] + [n for _, n in sorted(own)])[:-1].tolist() and sum(n for _, n in own) <= 2048
+    assert len(by) == -(-sum(r["length"] for r in got) // 2048)
+    assert packing.pack(none, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_packing_plan_is_near_the_bound(seed):
+    lengths = np.minimum(2048, np.random.default_rng(seed).lognormal(6, 1.2, 30_000).astype(int) + 1)
+    hist = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    plan = packing.make_plan(hist)
+    held = Counter()
+    for contents, n in plan:
+        assert sum(contents) <= 2048
+        for k in contents:
+            held[k] += n
+    assert held == Counter(hist) and sum(n for _, n in plan) <= 1.004 * lengths.sum() / 2048 + 1
+    assert packing.make_plan({}) == []
+
+
+def test_simhash_against_all_pairs(docs, none):
+    got = simhash.near_duplicates(docs).collect()
+    prints, ids = [], [r[0] for r in rows()]
+    for r in rows():
+        w = re.findall(WORD, lower(r[1]))
+        g = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in g]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    label = list(range(len(ids)))
+    for _ in ids:
+        for i, a in enumerate(prints):
+            label[i] = min(label[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 2)
+    want = Counter((ids[i], f"{p:016x}", min(ids[j] for j in range(len(ids)) if label[j] == label[i] and ids[j] is not None) if any(ids[j] is not None for j in range(len(ids)) if label[j] == label[i]) else None) for i, p in enumerate(prints))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("shard", [1024, 4])
+def test_links_of_large_shards_lose_none(spark, shard):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 6).tolist()
+    values = {b for b in base} | {b ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(1, 5))) for b in base for _ in range(40)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    got = graph.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), shard), "a", "b")
+    roots = {r["node"]: r["root"] for r in got.collect()}
+    label = {v: v for v in signed}
+    for _ in range(40):
+        for v in signed:
+            label[v] = min(label[u] for u in signed if ((u ^ v) & (1 << 64) - 1).bit_count() <= 2)
+    assert {v: roots.get(v, v) for v in signed} == label
+
+
+def test_bk_tree_finds_all_within_the_radius():
+    rng, tree, values = np.random.default_rng(1), simhash.BKTree(), []
+    for v in rng.integers(0, 1 << 10, 300).tolist():
+        assert sorted(tree.add(v, 2)) == [i for i, u in enumerate(values) if (u ^ v).bit_count() <= 2]
+        values.append(v)
+
+
+def test_mixing_meets_targets(docs, none):
+    got = mixing.mix(docs, columns=("source",)).collect()
+    again = mixing.mix(docs.repartition(5), columns=("source",)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    size = Counter()
+    for r in rows():
+        size[r[3]] += len(re.findall(WORD, r[1] or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([size[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(size.values()), 2.0), strict=True))
+    taken, largest = Counter(), Counter()
+    for r in got:
+        assert r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]] and math.isclose(r["target"], goal[r["source"]])
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert all(abs(taken[s] - goal[s]) <= largest[s] for s in names) and math.isclose(sum(goal.values()), 1.5 * sum(size.values()))
+    assert mixing.mix(none).count() == 0
+
+
+def test_language_learns_and_rejects(docs, none):
+    got = {(r["doc_id"], r["lang_pred"]) for r in language.identify(docs).collect()}
+    assert {(i, "en" if i % 2 else "de") for i in range(40)} <= got
+    assert {(200, "und"), (201, "und"), (202, "und"), (203, "und")} <= got
+    assert language.identify(none).count() == 0
+
+
+def test_secrets(spark, none):
+    secret = hashlib.sha1(b"x").hexdigest()
+    d = [(1, f'some words token = "{secret}" end', "s"), (2, "commit " + secret, "s"), (3, 'password = "your_password_here"', "docs"), (4, None, None), (5, "", "s"), (6, f'a token = "{secret}" b', "s"), (6, f'a token = "{secret}" b', "s")]
+    df = spark.createDataFrame(d, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumn("rule", F.lit(1))
+    found = secrets.findings(df).collect()
+    assert sorted((r["doc_id"], r["confirmed"]) for r in found) == [(1, True), (2, False), (3, False), (6, True), (6, True)]
+    assert {d[0][1][r["start"] : r["start"] + r["length"]] for r in found if r["doc_id"] == 1} == {f'token = "{secret}"'}
+    clean = {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
+    assert (1, "some words [SECRET] end", 23) in clean and (2, "commit " + secret, 47) in clean and (4, None, None) in clean
+    assert secrets.redact(df).count() == len(d) and secrets.findings(none).count() == 0
+
+
+def test_substrings_against_brute_force(spark, none):
+    rng = np.random.default_rng(0)
+    word = lambda n: "".join(rng.choice(list("abcdé ç")) for _ in range(n))
+    shared, long = word(180), word(400)
+    texts = [word(300), shared + word(90), word(40) + shared + word(70), long, long, long[:250] + "x" + long[250:], "ab" * 200, "z" * 500, "z" * 130, None, "", word(99), word(120) + shared[20:150] + shared[10:170], shared + shared]
+    d = [(i, t) for i, t in enumerate(texts)] + [(3, long), (3, word(50) + shared)]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(spark.createDataFrame(d, "doc_id long, text string").withColumn("size", F.lit(1)).repartition(4)).collect())
+    keyed = {(i, t): None for i, t in d}
+    hashed = {r["t"]: r["k"] for r in spark.createDataFrame([(t or "",) for _, t in keyed], "t string").distinct().select("t", F.xxhash64("t").bitwiseAND(F.lit(0x7FFFFFFF)).alias("k")).collect()}
+    seen, out = set(), {}
+    for i, t in sorted(keyed, key=lambda x: (x[0], hashed[x[1] or ""])):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out[i, t] = (i, len(b), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), kept)
+    assert got == Counter(out[x] for x in d)
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_lm_counts_exactly_and_scores(docs, none):
+    held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(True))
+    got = lm.score(docs, held).collect()
+    token = lambda t: [*re.findall(WORD, lower(t)), " end"]
+    count = Counter(w for r in rows() if r[0] is not None and r[0] % 10 for w in token(r[1]))
+    n, v = sum(count.values()), len(count)
+    want = Counter((r[0], len(token(r[1])), sum(count[w] > 0 for w in token(r[1])), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in token(r[1])), 6)) for r in rows())
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
+    assert sum(r["score"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200) > sum(r["base_score"] for r in got if r["doc_id"] is not None and r["doc_id"] < 200)
+    assert lm.score(none).count() == 0
+
+
+def vectors(spark, n=600, d=24):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, d)) + 3 * rng.normal(size=(12, d))[rng.integers(0, 12, n)]
+    x[50:90] = x[50]
+    data = [(i, [float(np.float32(v)) for v in r], 0) for i, r in enumerate(x)]
+    odd = [(n, None, 0), (n + 1, [], 0), (n + 2, [float("nan")] * d, 0), (n + 3, [None] * d, 0), (n + 4, [0.0] * d, 0), (n + 5, [1.0, 2.0], 0), (None, data[0][1], 0)]
+    return data, spark.createDataFrame(data + odd, "vec_id long, embedding array<float>, label int").withColumn("part", F.lit(1)).repartition(3)
+
+
+def test_topk_is_exact(spark):
+    data, df = vectors(spark)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    z = np.floor(256 * np.array([v for _, v, _ in data])).astype(np.int64)
+    want = set()
+    for i in range(0, len(z), 50):
+        s = [(-(z[i] @ z[j]), j) for j in range(len(z)) if j != i] + [(0, len(z) + 4)]
+        want |= {(i, k + 1, j, int(-x)) for k, (x, j) in enumerate(sorted(s)[:5])}
+    assert {tuple(r) for r in got if r["query_id"] < len(z)} == want
+    large = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e3, 2.0]), (2, [-1e3, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(large, F.col("vec_id") == 1, k=2).collect()] == [(0, (1 << 63) - 1), (2, 256000 * -256000 + 512 * 128)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_ann_recall_and_scores(spark):
+    data, df = vectors(spark)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    x, hits = np.array([v for _, v, _ in data]), 0
+    for i in range(0, len(x), 20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i)
+        assert [r for r, _, _ in own] == list(range(1, 11)) and all(math.isclose(s, d[j], abs_tol=1e-9) for _, j, s in own)
+        assert [(s, j) for _, j, s in own] == sorted((s, j) for _, j, s in own)
+        hits += len({j for _, j, _ in own} & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(range(0, len(x), 20))
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_toxicity_and_its_index(spark, none):
+    rng = np.random.default_rng(2)
+    bad, plain = ["idiot", "scum", "trash"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    data, labels = [], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = rng.choice(plain, 30).tolist() + (rng.choice(bad, 2).tolist() if toxic else [])
+        data.append((i, " ".join(words).title() + ".", "en", "s"))
+        labels.append((i, 1, toxic))
+    data += [(900, None, "en", "s"), (901, "", "en", "s"), (902, "Idiot, " * 3000, "en", "s"), (903, "calm and clean", "en", None)]
+    labels += [(900, 1, None), (None, 1, 1)]
+    d, y = spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(d, y).collect()}
+    truth = {i: t for i, _, t in labels}
+    held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 400]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    assert got[902]["predicted"] == 1 and got[903]["predicted"] == got[900]["predicted"] == got[901]["predicted"] == 0
+    assert toxicity.classify(none, y).count() == 0 and {r["score"] for r in toxicity.classify(d, y.limit(0)).collect()} <= {0.0, 0.05}
+    index = toxicity.fit([i for i, *_ in data[:400]], [t for _, t, *_ in data[:400]], [truth[i] for i in range(400)], (1.0, 1.0))
+    vecs = [index.vector(toxicity.terms(t)) for _, t, *_ in data[:400]]
+    for t, w in [v for v in vecs if len(v[0])][:20]:
+        near, cos = index.neighbours(t, w, 15)
+        full = np.zeros(len(index.labels))
+        for a, b in zip(t, w, strict=True):
+            for e in range(index.block_at[a], index.block_at[a + 1]):
+                s = slice(index.block_from[e], index.block_to[e])
+                full[index.post_id[s]] += b * index.post_w[s]
+        assert near.tolist() == np.lexsort((np.arange(len(full)), -full))[:15].tolist() and np.allclose(cos, full[near])
