@@ -46,7 +46,62 @@ def update_date(silver: DataFrame) -> DataFrame:
 
 
 def block(silver: DataFrame) -> DataFrame:
-    return silver.select("site_number", F.posexplode("body.blocks").alias("ordinal", "text"))
+    return _each(silver, "body.blocks")
+
+
+def section(silver: DataFrame) -> DataFrame:
+    return _each(silver, "body.sections")
+
+
+def body_table(silver: DataFrame) -> DataFrame:
+    return _each(silver, "body.tables").drop("ordinal")
+
+
+def bat_observation(silver: DataFrame) -> DataFrame:
+    return _each(silver, "body.bat_observations").withColumnRenamed("date", "observed_on")
+
+
+def cross_reference(silver: DataFrame) -> DataFrame:
+    """References with is_resolved: the site that is named has a page."""
+    refs = _each(silver, "body.cross_refs").withColumnRenamed("site_number", "from_site").withColumnRenamed("target_site", "to_site")
+    known = silver.select(F.col("site_number").alias("to_site"), F.lit(True).alias("_known"))
+    return refs.join(known, "to_site", "left").withColumn("is_resolved", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def date_mention(silver: DataFrame) -> DataFrame:
+    return _each(silver, "body.dates")
+
+
+def person_mention(silver: DataFrame) -> DataFrame:
+    return _each(silver, "body.people")
+
+
+def person(mentions: DataFrame) -> DataFrame:
+    counts = mentions.groupBy("name_raw").agg(F.count("*").alias("mention_count"))
+    return surrogate(counts, "person_id", "name_raw")
+
+
+def system_member(silver: DataFrame) -> DataFrame:
+    """name, site_number: systems that a measurement says the site is a part of."""
+    return quantity(silver).where("system_name IS NOT NULL").select(F.col("system_name").alias("name"), "site_number").distinct()
+
+
+def chunk(silver: DataFrame) -> DataFrame:
+    """Passages for search. The id is made of site and place, so no exchange gives it; the digest tells texts that changed."""
+    each = _each(silver, "passages")
+    key = F.shiftleft(F.col("site_number").cast("long"), 32) + F.col("ordinal")
+    return each.select(key.alias("chunk_id"), "*", F.sha2("text", 256).alias("content_sha256"))
+
+
+def pending_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Passages without a vector."""
+    return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def carry_vectors(chunks: DataFrame, old_chunks: DataFrame, old_vectors: DataFrame) -> DataFrame:
+    """chunk_id, embedding: vectors of an earlier build for texts that did not change, met by digest."""
+    known = old_chunks.select("chunk_id", "content_sha256").join(old_vectors, "chunk_id").groupBy("content_sha256").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    return chunks.select("chunk_id", "content_sha256").join(known, "content_sha256").select("chunk_id", "embedding")
 
 
 def footer_field(silver: DataFrame) -> DataFrame:

@@ -18,10 +18,14 @@ title struct<raw:string,site_number:int,stated:int,name:string,name_sort:string,
 header struct<raw:string,area_raw:string,coordinates:array<struct<raw:string,system:string,zone:string,easting:int,northing:int,vn_ref:string,datum:string,accuracy_code:string,altitude_m:double,label:string,entrance_site_number:int>>,
  quantities:array<struct<label:string,raw:string,kind:string,value_m:double,min_m:double,max_m:double,modifier:string,relation:string,target_sites:array<int>,system_name:string,extra_value_m:double>>>,
 updated array<struct<raw:string,precision:string,date:date,end_date:date,attribution:string,inferred_month:boolean,inferred_year:boolean,group_index:int>>,
-body struct<text:string,char_count:int,is_minimal:boolean,blocks:array<string>>,
+body struct<text:string,char_count:int,is_minimal:boolean,blocks:array<struct<kind:string,text:string,section_index:int>>,
+ sections:array<struct<heading:string,heading_kind:string,canonical:string,block_first:int,block_last:int>>,tables:array<struct<index:int,headers:array<string>,rows:array<array<string>>,looks_like:string>>,
+ bat_observations:array<struct<date:date,date_raw:string,fields:map<string,string>>>,cross_refs:array<struct<target_site:int,kind:string,href:string,fragment:string,context:string>>,
+ dates:array<struct<raw:string,kind:string,year:int,month:int,day:int,season:string,batch_code:string>>,people:array<struct<name_raw:string,evidence:string,confidence:double>>>,
 footer struct<raw:string,citations:array<struct<raw:string,ordinal:int,author_raw:string,authors:array<string>,year:int,disambiguator:string,qualifier:string,kind:string,citation_key:string,links:{_LINK},attachments:{_LINK}>>,
  fields:array<struct<label_raw:string,label:string,order:int,text:string,is_empty:boolean,links:{_LINK}>>>,
-segments_found map<string,boolean>, is_stub boolean"""
+segments_found map<string,boolean>, is_stub boolean, override_status string,
+passages array<struct<kind:string,text:string,section_heading:string,block_first:int,block_last:int>>"""
 
 
 def page_name(number: int) -> str:
@@ -36,14 +40,18 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"(\d{4})\.htm$", 1).cast("int").alias("site_number"), "path", "content", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """The nested record of every page, with path, size and digest. Write it once; every table below reads it."""
+def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None) -> DataFrame:
+    """The nested record of every page, with path, size and digest. Write it once; every table below reads it.
+
+    ``overrides`` are written by hand, one file a site, so they travel with the task.
+    """
+    fixes = overrides or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cairn.functions.pages import parse_page
 
         for b in batches:
-            records = [json.dumps(parse_page(n, raw), default=str, ensure_ascii=False) for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            records = [json.dumps(parse_page(n, raw, fixes.get(n)), default=str, ensure_ascii=False) for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.string()), b.column(2), b.column(3), b.column(4)], ["record", "path", "byte_size", "content_sha256"])
 
     raw = pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, "record string, path string, byte_size long, content_sha256 string")
@@ -65,6 +73,12 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in sorted(rows.items())], "folded string, name string, slug string")
 
 
+def read_overrides(folder: str) -> dict[int, dict]:
+    """Corrections by site number; a folder that is missing holds none."""
+    found = [(p, tomllib.loads(p.read_text(encoding="utf-8"))) for p in sorted(Path(folder).glob("*.toml"))]
+    return {int(data.get("site", p.stem)): data for p, data in found}
+
+
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
     data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
     return spark.createDataFrame([(q["query"], q["expect"], q.get("kind", "general")) for q in data.get("query", data.get("queries", []))], "query string, expect array<int>, kind string")
