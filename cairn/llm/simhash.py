@@ -48,8 +48,8 @@ def _fingerprint(joined: bytes, first: np.ndarray, last: np.ndarray) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp long (the 64 bits) of each document."""
+def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp long (the 64 bits) and ``columns`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 begins = ends - sizes[at : at + n]
                 k = min(SHINGLE, n)
                 out[i] = _fingerprint(joined, begins[: n - k + 1], ends[k - 1 :])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *columns])
 
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *columns).mapInArrow(run, schema)
 
 
 class BKTree:
@@ -179,12 +180,13 @@ def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     return small.unionByName(large)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
-    prints = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links), component (a number
+    of its own for each, those without any id too) and ``columns``."""
+    prints = cut(fingerprints(docs, columns))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     joined = components(links(distinct.select("fp")), "a", "b")  # node, root: of fingerprints with a link
     at = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = at.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = at.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = at.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *columns)

@@ -26,3 +26,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(re.search("[0-9a-f]{40}", r[1]) is None and r[4] == len(r[1]) for r in kept["secrets"]) and len(kept["secrets"]) == len(kept["near_duplicates"])
     packed = packing.pack(docs, p.TOKENIZER).count()
     assert packed == len(kept["mixture"]) == p.run(spark, str(tmp_path)).count()
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "the quick brown fox jumps over it")
+    rows = [(None, a), (None, a), (None, b), (7, c), (None, c), (8, "red blue green white black"), (8, "sun moon star sky cloud rain")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]], key=str)
+    assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+    mixed = p.mix_sources(spark, docs, "").select("doc_id", "text").collect()
+    assert {tuple(r) for r in mixed} <= set(rows) and mixed
