@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import graph, retrieval
-from cairn.plans import model
+from cairn.plans import model, quality
 
 # Passages that a search of sites looks at, and that each side of a fusion gives.
 SITE_POOL, FUSION_POOL = 200, 100
@@ -20,7 +20,7 @@ def tables(silver: DataFrame) -> dict[str, DataFrame]:
     """Every table of the model. ``silver`` should be read from where it was written: each table reads it again."""
     uses, mentions = model.citation_use(silver), model.person_mention(silver)
     works = model.citation(uses)
-    each = (model.site, model.site_alias, model.coordinate, model.quantity, model.update_date, model.block, model.section, model.body_table, model.bat_observation, model.cross_reference, model.date_mention, model.footer_field, model.resource_link, model.system_member, model.chunk)
+    each = (model.site, model.site_alias, model.coordinate, model.quantity, model.update_date, model.block, model.section, model.body_table, model.bat_observation, model.cross_reference, model.date_mention, model.footer_field, model.resource_link, model.system_member, model.chunk, quality.anomaly, quality.parse_run)
     return {f.__name__: f(silver) for f in each} | {"citation_use": uses, "citation": works, "author": model.author(works), "person_mention": mentions, "person": model.person(mentions)}
 
 
@@ -135,13 +135,6 @@ def counts(own: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("value")).select(F.lit(name).alias("label"), "value") for name, df in sorted(own.items())])
 
 
-def review(silver: DataFrame) -> DataFrame:
-    """site_number, codes, hits of pages that lack a part, most lacking first."""
-    codes = F.filter(F.transform(F.map_entries("segments_found"), lambda e: F.when(~e["value"], F.concat(F.lit("missing_"), e["key"]))), lambda c: c.isNotNull())
-    out = silver.select("site_number", F.array_sort(codes).alias("codes")).withColumn("hits", F.size("codes")).where("hits > 0")
-    return out.select("site_number", F.array_join("codes", ",").alias("codes"), "hits").orderBy(F.desc("hits"), "site_number")
-
-
 def evaluate(own: dict[str, DataFrame], questions: DataFrame, at: int = 10, encode: Encoder | None = None) -> DataFrame:
     """kind, queries, recall of an evaluation set, which is written by hand: each question is one search of a pool, cut to ``at`` sites."""
     spark, rows = own["site"].sparkSession, questions.collect()

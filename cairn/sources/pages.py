@@ -22,9 +22,10 @@ body struct<text:string,char_count:int,is_minimal:boolean,blocks:array<struct<ki
  sections:array<struct<heading:string,heading_kind:string,canonical:string,block_first:int,block_last:int>>,tables:array<struct<index:int,headers:array<string>,rows:array<array<string>>,looks_like:string>>,
  bat_observations:array<struct<date:date,date_raw:string,fields:map<string,string>>>,cross_refs:array<struct<target_site:int,kind:string,href:string,fragment:string,context:string>>,
  dates:array<struct<raw:string,kind:string,year:int,month:int,day:int,season:string,batch_code:string>>,people:array<struct<name_raw:string,evidence:string,confidence:double>>>,
-footer struct<raw:string,citations:array<struct<raw:string,ordinal:int,author_raw:string,authors:array<string>,year:int,disambiguator:string,qualifier:string,kind:string,citation_key:string,links:{_LINK},attachments:{_LINK}>>,
- fields:array<struct<label_raw:string,label:string,order:int,text:string,is_empty:boolean,links:{_LINK}>>>,
+footer struct<raw:string,reference_label:string,citations:array<struct<raw:string,ordinal:int,author_raw:string,authors:array<string>,year:int,disambiguator:string,qualifier:string,kind:string,citation_key:string,links:{_LINK},attachments:{_LINK}>>,
+ fields:array<struct<label_raw:string,label:string,is_known_label:boolean,order:int,text:string,is_empty:boolean,links:{_LINK}>>>,
 segments_found map<string,boolean>, is_stub boolean, override_status string,
+notes struct<blank:boolean,mojibake:boolean,replaced:boolean,body_tag:boolean,body_close:boolean,speech:boolean,script:boolean,title_swapped:boolean,header_tail:boolean,header_closers:int,updated_open:boolean,updated_nested:boolean,rejected_dates:int,footer_bare:boolean,header_words:int,footer_words:boolean,own_links:int>,
 passages array<struct<kind:string,text:string,section_heading:string,block_first:int,block_last:int>>"""
 
 
