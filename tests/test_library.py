@@ -120,7 +120,7 @@ def test_quality(spark, built, tmp_path):
     assert [(r["site_number"], r["code"], r["severity"]) for r in own["anomaly"].collect()] == [(2, "xref_self_reference", "info")]
     assert {tuple(sorted(r["confidence"].items())) for r in own["parse_run"].collect()} == {(("body", 1.0), ("footer", 1.0), ("header", 1.0), ("title", 1.0), ("updated", 1.0))}
     assert quality.review(silver).count() == 0 and quality.low_confidence(silver).count() == 0
-    bad = """<B><BIG>0009 -</BIG></B><SMALL>nowhere <B>Length</B> ++ <B>Length</B> see 0002 for it</SMALL></SMALL></SMALL>
+    bad = """<B><BIG>0009 -</BIG></B><SMALL><B>Length</B> ++ <B>Length</B> see 0002 for it</SMALL></SMALL></SMALL>
     <I>Updated someday, 1st May 2001</I> Text with <a href="0008.htm">itself</a> \ufffd Logbook search <B>References</B>: Corrin J, 1983 (by post); something odd; <B>Strange</B>: x"""
     (tmp_path / "0008.htm").write_bytes(bad.encode())
     (tmp_path / "0009.htm").write_bytes(b" ")
