@@ -190,6 +190,12 @@ def test_lm_counts_exactly_and_scores(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_filter_keeps_its_bits_at_every_size(docs, monkeypatch):
+    want = {(r["doc_id"], r["score"]) for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "MOST_BITS", 4096, raising=False)
+    assert {(r["doc_id"], r["score"]) for r in lm.score(docs).collect()} == want
+
+
 def vectors(spark, n=600, d=24):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(n, d)) + 3 * rng.normal(size=(12, d))[rng.integers(0, 12, n)]
