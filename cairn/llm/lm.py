@@ -13,8 +13,6 @@ counts of these triples over all training texts, a table of bounded size, are al
 
 The base score needs exact counts; a segment answers them beside the levels of the unigrams.
 
-Bigrams seen once carry no entry: a stated part of the model.
-
 Defined cases: null text is empty, and an empty text is the end token alone; texts are read whole; with no training
 tokens every token is unknown; rows that repeat a doc_id are scored each; extra columns are ignored.
 """
@@ -36,8 +34,6 @@ from .common import cut, doc_mod, group_sums, prepare, split_words, starts_of
 
 #: The end of a text; no word holds a space.
 END = " end"
-#: Least count of a bigram that gets an entry.
-LEAST = 2
 BASES = (math.sqrt(2.0), 2.0)
 BITS, PROBES = 12, 6
 SMOOTH = 0.1
@@ -125,7 +121,7 @@ def read_levels(bits: np.ndarray, keys: np.ndarray, kind: int, limit: int = 80)
 
 def parts(code: np.ndarray, tokens: int, types: int, less: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (context, token, bigram) levels in one number: unigram probability, bigram ratio and the context's bucket."""
-    context, one, two = level_count(code >> 14, BASES[0]), level_count(code >> 7 & 127, BASES[0]), level_count(code & 127, BASES[1]) * LEAST
+    context, one, two = level_count(code >> 14, BASES[0]), level_count(code >> 7 & 127, BASES[0]), level_count(code & 127, BASES[1])
     uni = (np.maximum(one - less, 0) + SMOOTH) / (tokens + SMOOTH * (types + 1))
     ratio = np.where(context > less, np.minimum(1.0, np.maximum(two - less, 0) / np.maximum(context - less, 1)), 0.0)
     return uni, ratio, np.minimum(BUCKETS - 1, np.log2(np.maximum(context, 1)).astype(np.int64))
@@ -264,9 +260,8 @@ def _answer(asked: DataFrame, segments: int) -> DataFrame:
             n = np.frombuffer(b"".join(values[i] for i in rows), "<u4")
             known, at = np.unique(own, return_inverse=True)
             counts = np.bincount(at, weights=n, minlength=len(known)).astype(np.int64)
-            least = LEAST if kind else 1
-            kept = counts >= least
-            entries.append((known[kept], levels(counts[kept] / least, BASES[kind]), kind))
+            kept = counts > 0  # held-out texts ask for n-grams without a count
+            entries.append((known[kept], levels(counts[kept], BASES[kind]), kind))
             found.append((rows, sizes, known, at, counts))
         bits = segment_bits(entries)
         out = []

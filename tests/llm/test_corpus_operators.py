@@ -196,6 +196,13 @@ def test_lm_filter_keeps_its_bits_at_every_size(docs, monkeypatch):
     assert {(r["doc_id"], r["score"]) for r in lm.score(docs).collect()} == want
 
 
+def test_lm_reads_bigrams_seen_once(spark):
+    words = [f"w{i}" for i in range(60)]
+    d = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(reversed(words)))]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(d, "doc_id long, text string"), F.col("doc_id") > 1).collect()}
+    assert got[2] > got[3] + 1
+
+
 def vectors(spark, n=600, d=24):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(n, d)) + 3 * rng.normal(size=(12, d))[rng.integers(0, 12, n)]
