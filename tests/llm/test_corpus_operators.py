@@ -203,6 +203,37 @@ def test_lm_reads_bigrams_seen_once(spark):
     assert got[2] > got[3] + 1
 
 
+def test_lm_weights_come_from_all_training_texts(spark):
+    rng = np.random.default_rng(8)
+    lines = ["red fox runs home", "blue fox sits down", "the old red house stands"]
+    d = [(i, " ".join(lines[j] for j in rng.integers(0, 3, 1500))) for i in range(1, 5)] + [(0, " ".join(lines))]
+    assert all(len(t) > 20_000 for i, t in d if i)
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(d, "doc_id long, text string"), F.col("doc_id") == 0).collect()}
+    token = lambda t: [None, *t.split(), " end"]
+    seqs = [token(t) for i, t in d if i]
+    one, two = Counter(w for s in seqs for w in s[1:]), Counter(p for s in seqs for p in zip(s, s[1:]))
+    n, v = sum(one.values()), len(one)
+    read = lambda c, base: float(lm.level_count(lm.levels(np.array([c]), base), base)[0]) if c else 0.0
+
+    def parts(a, b, less):
+        context = max(1.0, read(one[" end"], lm.BASES[0])) if a is None else read(one[a], lm.BASES[0])
+        uni = (max(read(one[b], lm.BASES[0]) - less, 0) + 0.1) / (n + 0.1 * (v + 1))
+        return uni, min(1.0, max(read(two[a, b], lm.BASES[1]) - less, 0) / max(context - less, 1)) if context > less else 0.0, int(math.log2(max(context, 1)))
+
+    w = Counter()
+    for _ in range(20):
+        share, total = Counter(), Counter()
+        for (a, b), m in two.items():
+            u, r, k = parts(a, b, 1.0)
+            x = w.get(k, 0.1)
+            share[k] += m * x * r / (x * r + (1 - x) * u)
+            total[k] += m
+        w = {k: min(0.95, max(1e-4, (share[k] + 0.5) / (total[k] + 10))) for k in total}
+    s = token(d[-1][1])
+    want = sum(math.log10(min(1.0, w.get(k, 0.1) * r + (1 - w.get(k, 0.1)) * u)) for u, r, k in (parts(a, b, 0.0) for a, b in zip(s, s[1:])))
+    assert math.isclose(got[0], want, rel_tol=0.02)
+
+
 def vectors(spark, n=600, d=24):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(n, d)) + 3 * rng.normal(size=(12, d))[rng.integers(0, 12, n)]
