@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Formats of credentials, by rule.
+#: Formats of credentials, by rule. Values have no upper length; a private key runs to its END line (up to 99 hyphens in its
+#: headers) or, without one, to the end of its characters.
 RULES = {
-    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[0-9A-Za-z+/=\s]{0,8192}",
+    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,99}-----END [A-Z ]{0,30}PRIVATE KEY-----|[0-9A-Za-z+/=\s]*+)",
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,200}\b",
+    "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36,}+\b",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}\b",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
-    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}\b",
-    "jwt": r"\beyJ[0-9A-Za-z_-]{8,2000}\.[0-9A-Za-z_-]{8,4000}\.[0-9A-Za-z_-]{8,2000}",
-    "assignment": r"""(?:(?i)token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|credential)[\w-]{0,30}["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["'][^"'\s]{6,200}["']""",
-    "opaque": r"\b[0-9A-Za-z_-]{32,200}\b",
+    "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
+    "jwt": r"\beyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    "assignment": r"""(?:(?i)token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|credential)[\w-]{0,30}["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["'][^"'\s]{6,}+["']""",
+    "opaque": r"\b[0-9A-Za-z_-]{32,}\b",
 }
 PATTERN = "|".join(f"(?:{p})" for p in RULES.values())
 #: Words of code, settings and samples that placeholders are made of.
@@ -70,7 +71,7 @@ def candidates(docs: DataFrame, columns: list[str], path: str | None = "source")
         F.length("_match").cast("long").alias("length"), F.right(before, F.lit(NEIGHBOUR_CHARS)).alias("_before"), F.left(after, F.lit(NEIGHBOUR_CHARS)).alias("_after"),
     )
     rule = F.coalesce(*[F.when(F.col("_match").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in RULES.items()], F.lit("opaque"))
-    value = F.regexp_extract("_match", r"""["']([^"'\s]{6,200})["']$""", 1)
+    value = F.regexp_extract("_match", r"""["']([^"'\s]{6,}+)["']$""", 1)
     return each.withColumn("rule", rule).withColumn("_body", F.when(F.col("rule") == "assignment", value).otherwise(F.col("_match")))
 
 

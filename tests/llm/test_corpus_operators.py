@@ -154,6 +154,22 @@ def test_secrets(spark, none):
     assert secrets.redact(df).count() == len(d) and secrets.findings(none).count() == 0
 
 
+def test_secrets_of_any_length_are_found_whole(spark):
+    mixed = lambda n: "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join(mixed(9000)[i : i + 64] for i in range(0, 9000, 64))
+    want = [
+        mixed(200), mixed(201), mixed(100_000), f'token = "{mixed(201)}"', f'token = "{mixed(5000)}"', f"eyJ{mixed(40)}.{mixed(4001)}.{mixed(43)}", "ghp_" + mixed(300), "xoxb-" + mixed(300),
+        "sk_live_" + mixed(120), f"{begin}\n{lines}\n{end}", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{mixed(32)}\n\n{lines}\n{end}", f"{begin}\n{lines}",
+    ]
+    d = [(i, f"some words {x}{'' if x.endswith(mixed(9000)[-20:]) else ' and more'}", "s") for i, x in enumerate(want)]
+    got = {}
+    for r in secrets.candidates(spark.createDataFrame(d, "doc_id long, text string, source string"), ["doc_id"]).collect():
+        got.setdefault(r["doc_id"], []).append((r["_match"], r["rule"]))
+    rules = ["opaque", "opaque", "opaque", "assignment", "assignment", "jwt", "github_token", "slack_token", "stripe_key", "private_key", "private_key", "private_key"]
+    assert got == {i: [(x, k)] for i, (x, k) in enumerate(zip(want, rules, strict=True))}
+
+
 def test_substrings_against_brute_force(spark, none):
     rng = np.random.default_rng(0)
     word = lambda n: "".join(rng.choice(list("abcdé ç")) for _ in range(n))
