@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch, so that a batch of long texts stays in a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch, so that a batch of long texts stays in a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,13 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches; take the checkpoint folder from the session, or a local one where none is set (tests)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches; take the checkpoint folder from the session.
+
+    Where none is set, a session on one machine (tests) gets a temporary one; on a cluster executors don't share such a
+    folder, so that is an error.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

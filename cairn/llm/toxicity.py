@@ -1,18 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Labelled examples (a bounded sample, ``EXAMPLES`` of each label) are vectors over the terms that tell the labels apart;
-the index holds each term's postings by blocks of examples with the largest weight in each block. A query adds up the
-blocks' bounds, scores blocks from the highest bound down and stops where no block can reach its k-th cosine: the
-neighbours are those of exhaustive search. Votes weighted by cosine, corrected for the sampling rates, are calibrated by
-isotonic regression on the examples themselves, each left out of its own vote.
-
-Defined cases: null and empty texts, and texts without a telling term, get the rate of toxic examples among such texts;
-texts are read whole; with no usable labels the score is 0 for all; labels that are null, or of null ids, are not used;
-of labels that repeat an id the largest counts; rows that repeat a doc_id are scored each; extra columns are ignored.
+Labelled examples (a bounded sample, ``EXAMPLES`` of each label) are vectors over every term they hold: (1 + ln tf) x idf,
+times 1 plus what the term's rates in the two labels lie apart beyond ``SURE`` standard errors. The index holds each term's
+postings by blocks of examples with the largest weight in each block. A query adds up the blocks' bounds, scores blocks
+from the highest bound down and stops where no block can reach its k-th cosine: the neighbours are those of exhaustive
+search. Votes weighted by the squared cosine and corrected for the sampling rates, with a little weight for the rate of all
+labelled rows, are calibrated by isotonic regression on the examples themselves, each left out of its own vote.
+
+Defined cases: null and empty texts, and texts without a term of the examples, have no neighbours, so theirs is the
+calibrated rate of all labelled rows; texts are read whole; with no usable labels the score is 0 for all; labels that are
+null, or of null ids, are not used; of labels that repeat an id the largest counts, of texts that repeat it the one that
+sorts first; rows that repeat a doc_id are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import cut, doc_mod, prepare, spread
 
 #: Labelled examples of each label that the classifier is fitted on, at most.
-EXAMPLES = 3000
-NEIGHBOURS = 15
-BLOCK = 64
-#: How many standard errors a term's rates in the two labels must be apart, and in how many examples it must stand.
-TELLING = 6.0
-LEAST = 5
+EXAMPLES = 1500
+NEIGHBOURS = 30
+BLOCK = 128
+#: Standard errors from which on a difference of a term's rates counts.
+SURE = 3.0
+#: Weight of the rate of all labelled rows in a vote; a neighbour's is its squared cosine.
+PRIOR = 0.05
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -42,131 +46,115 @@ def terms(text: str | None) -> Counter:
 @dataclass
 class Index:
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    #: Of each term: idf times what it tells; ``new``: idf of a term that no example holds.
+    weight: np.ndarray
+    new: float
+    labels: np.ndarray
+    votes: np.ndarray
+    ids: np.ndarray
+    rate: float
     #: Postings by term: examples in ascending order with weights; by term and block: the first posting and the bound.
-    post_at: np.ndarray
     post_id: np.ndarray
     post_w: np.ndarray
     block_at: np.ndarray
     block_id: np.ndarray
     block_from: np.ndarray
-    block_to: np.ndarray
     block_max: np.ndarray
-    labels: np.ndarray
-    votes: np.ndarray
-    ids: np.ndarray
-    blank: float
-    steps: tuple[np.ndarray, np.ndarray]
+    #: Votes and the scores they stand for, both rising.
+    curve: tuple[np.ndarray, np.ndarray]
 
     def vector(self, counted: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms and their weights, of length 1."""
-        own = sorted((self.vocabulary[t], n) for t, n in counted.items() if t in self.vocabulary)
-        if not own:
-            return np.empty(0, np.int64), np.empty(0)
-        t = np.array([a for a, _ in own], np.int64)
-        w = (1 + np.log([n for _, n in own])) * self.idf[t]
-        return t, w / np.linalg.norm(w)
+        """Known terms and their weights; with those of the other terms, which no example holds, of length 1."""
+        place = self.vocabulary.get
+        t = np.array([place(x, -1) for x in counted], np.int64)
+        w = (1 + np.log(np.fromiter(counted.values(), float, len(t)))) * np.append(self.weight, self.new)[t]
+        by = np.argsort(t)[np.count_nonzero(t < 0) :]
+        return t[by], w[by] / max(1e-300, np.linalg.norm(w))
 
     def neighbours(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine above 0, ties to the smaller place, and the cosines."""
         n = self.block_at[t + 1] - self.block_at[t]
-        entries = spread(self.block_at[t], n)
-        weight = np.repeat(w, n)
-        bound = np.bincount(self.block_id[entries], weights=weight * self.block_max[entries], minlength=-(-len(self.labels) // BLOCK))
+        entries, weight = spread(self.block_at[t], n), np.repeat(w, n)
+        blocks = self.block_id[entries]
+        bound = np.bincount(blocks, weights=weight * self.block_max[entries], minlength=-(-len(self.labels) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        cosines = np.zeros(len(self.labels))
-        at, kth, step = 0, 0.0, 4
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[blocks], kind="stable")
+        entries, weight, edges = entries[by], weight[by], np.searchsorted(place[blocks][by], np.arange(len(order) + 1))
+        cosines, kth, at, step = np.zeros(len(self.labels)), 0.0, 0, 2
         while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-12:
-            chosen = np.zeros(len(bound), bool)
-            chosen[order[at : at + step]] = True
-            own = chosen[self.block_id[entries]]
-            e, size = entries[own], (self.block_to - self.block_from)[entries[own]]
-            places = spread(self.block_from[e], size)
-            np.add.at(cosines, self.post_id[places], np.repeat(weight[own], size) * self.post_w[places])
+            own = slice(edges[at], edges[min(len(order), at + step)])
+            size = self.block_from[entries[own] + 1] - self.block_from[entries[own]]
+            places = spread(self.block_from[entries[own]], size)
+            cosines += np.bincount(self.post_id[places], weights=np.repeat(weight[own], size) * self.post_w[places], minlength=len(cosines))
             if but >= 0:
                 cosines[but] = 0
             kth = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
             at, step = at + step, step * 2
-        top = np.lexsort((np.arange(len(cosines)), -cosines))[:k]
-        top = top[cosines[top] > 1e-12]
+        near = np.flatnonzero(cosines >= max(kth, 1e-12))
+        top = near[np.lexsort((near, -cosines[near]))][:k]
         return top, cosines[top]
 
-    def vote(self, counted: Counter, but: int = -1) -> tuple[float | None, np.ndarray]:
+    def vote(self, counted: Counter, but: int = -1) -> tuple[float, np.ndarray]:
         t, w = self.vector(counted)
-        if not len(t):
-            return None, np.empty(0, np.int64)
-        near, cosines = self.neighbours(t, w, NEIGHBOURS, but)
-        if not len(near):
-            return None, near
+        near, cosines = self.neighbours(t, w, NEIGHBOURS, but) if len(t) else (np.empty(0, np.int64), np.empty(0))
         weight = cosines**2 * self.votes[near]
-        return float((weight * self.labels[near]).sum() / weight.sum()), near
+        return float((weight @ self.labels[near] + PRIOR * self.rate) / (weight.sum() + PRIOR)), near
 
     def score(self, counted: Counter) -> tuple[float, list[int]]:
+        if not len(self.labels):
+            return 0.0, []
         raw, near = self.vote(counted)
-        if raw is None:
-            return self.blank, []
-        at = max(0, int(np.searchsorted(self.steps[0], raw, side="right")) - 1)
-        return float(self.steps[1][at]), self.ids[near].tolist()
+        return float(np.interp(raw, *self.curve)), self.ids[near].tolist()
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nondecreasing steps (from which x on, value) nearest to y."""
-    order = np.argsort(x, kind="stable")
+    """Mean place and value of the pools of the rising function nearest to y."""
     pools: list[list[float]] = []
-    for i in order:
-        pools.append([x[i], y[i] * w[i], w[i]])
-        while len(pools) > 1 and (pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2] or pools[-2][0] == pools[-1][0]):
-            _, a, b = pools.pop()
-            pools[-1][1] += a
-            pools[-1][2] += b
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
-
-
-def fit(ids: list[int], texts: list[str | None], labels: list[int], rates: tuple[float, float]) -> Index:
-    """``rates``: labelled rows for each example of label 0 and of label 1."""
-    counted = [terms(t) for t in texts]
-    y = np.array(labels, np.int64)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    in1, in0 = Counter(), Counter()
-    for c, k in zip(counted, labels, strict=True):
-        (in1 if k else in0).update(c.keys())
-
-    def telling(t: str) -> bool:
-        a, b = in1[t], in0[t]
-        p = (a + b) / (n1 + n0)
-        return a + b >= LEAST and abs(a / n1 - b / n0) >= TELLING * np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) and p < 0.5
-
-    kept = sorted(t for t in {*in1, *in0} if telling(t))
-    vocabulary = {t: i for i, t in enumerate(kept)}
-    idf = np.array([np.log((1 + n1 + n0) / (1 + in1[t] + in0[t])) + 1 for t in kept])
-    has = np.array([any(t in vocabulary for t in c) for c in counted], bool)
-    weight = np.where(y == 1, rates[1], rates[0])
-    none = ~has
-    blank = float(((weight * y)[none].sum() + 0.05) / (weight[none].sum() + 1.0))
-    # Examples that share their heaviest term lie in the same blocks.
-    index = Index(vocabulary, idf, *[np.empty(0, np.int64)] * 8, y[has], weight[has], np.array(ids, np.int64)[has], blank, (np.array([0.0]), np.array([blank])))
-    chosen = np.flatnonzero(has)
-    vectors = [index.vector(counted[i]) for i in chosen]
-    lead = np.array([t[w.argmax()] for t, w in vectors], np.int64)
-    order = np.lexsort((np.array(ids, np.int64)[chosen], lead, y[chosen]))
-    chosen, vectors = chosen[order], [vectors[i] for i in order]
-    index.labels, index.votes, index.ids = index.labels[order], index.votes[order], index.ids[order]
-    if not len(chosen):
-        return index
-    term = np.concatenate([t for t, _ in vectors])
-    example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-    value = np.concatenate([w for _, w in vectors])
+    for i in np.argsort(x, kind="stable"):
+        pools.append([x[i] * w[i], y[i] * w[i], w[i], x[i]])
+        while len(pools) > 1 and (pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2] or pools[-2][3] == pools[-1][3]):
+            a, b, c, last = pools.pop()
+            pools[-1] = [pools[-1][0] + a, pools[-1][1] + b, pools[-1][2] + c, last]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
+
+
+def _telling(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """1, and beyond SURE standard errors between the shares of toxic and of clean examples with a term, the excess more."""
+    if not n1 or not n0:
+        return np.ones(len(toxic))
+    p = (toxic + clean) / (n1 + n0)
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return 1 + np.maximum(0, np.abs(toxic / n1 - clean / n0) / error - SURE)
+
+
+def fit(ids: list[int], counted: list[Counter], labels: list[int], rates: tuple[float, float]) -> Index:
+    """``counted``: terms of the examples; ``rates``: labelled rows for each example of label 0 and of label 1."""
+    # Examples that share their most frequent term, so those of a language, lie in the same blocks.
+    lead = [min(((-n, t) for t, n in c.items()), default=(0, ""))[1] for c in counted]
+    order = sorted(range(len(ids)), key=lambda i: (lead[i], labels[i], ids[i]))
+    ids, counted, y = [ids[i] for i in order], [counted[i] for i in order], np.array([labels[i] for i in order], np.int64)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for c in counted for t in c}))}
+    own = [sorted((vocabulary[t], n) for t, n in c.items()) for c in counted]
+    term, example = np.array([t for o in own for t, _ in o], np.int64), np.repeat(np.arange(len(own)), [len(o) for o in own])
+    n1, held = int(y.sum()), np.bincount(term, minlength=len(vocabulary))
+    toxic = np.bincount(term, weights=y[example], minlength=len(vocabulary))
+    weight = (np.log((1 + len(y)) / (1 + held)) + 1) * _telling(toxic, held - toxic, n1, len(y) - n1)
+    value = (1 + np.log(np.array([n for o in own for _, n in o], float))) * weight[term]
+    value /= np.sqrt(np.bincount(example, weights=value**2, minlength=len(own)))[example]
     by = np.lexsort((example, term))
-    term, index.post_id, index.post_w = term[by], example[by], value[by]
-    key = term * (len(vectors) + BLOCK) + index.post_id // BLOCK
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    index.block_id, index.block_from, index.block_to = index.post_id[first] // BLOCK, first, np.append(first[1:], len(key))
-    index.block_max = np.maximum.reduceat(index.post_w, first)
-    index.block_at = np.searchsorted(term[first], np.arange(len(kept) + 1))
-    raws = [index.vote(counted[i], but=j)[0] for j, i in enumerate(chosen)]
-    seen = np.array([j for j, r in enumerate(raws) if r is not None], np.int64)
-    if len(seen):
-        index.steps = _isotonic(np.array([raws[j] for j in seen]), index.labels[seen].astype(float), index.votes[seen].astype(float))
+    term, example, value = term[by], example[by], value[by]
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))) if len(term) else np.empty(0, np.int64)
+    votes = np.where(y == 1, rates[1], rates[0]).astype(float)
+    votes /= votes.mean() if len(votes) else 1
+    index = Index(
+        vocabulary, weight, float(np.log(1 + len(y)) + 1), y.astype(float), votes, np.array(ids, np.int64), float(votes @ y / max(1e-9, votes.sum())), example.astype(np.int32), value, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)),
+        example[first] // BLOCK, np.append(first, len(term)), np.maximum.reduceat(value, first) if len(first) else value, (np.zeros(1), np.zeros(1)),
+    )
+    if len(y):
+        raws = np.array([index.vote(c, but=i)[0] for i, c in enumerate(counted)])
+        index.curve = _isotonic(raws, index.labels, votes)
     return index
 
 
@@ -179,11 +167,18 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column) -> Index:
         part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
         drawn = part if drawn is None else drawn.unionByName(part)
     drawn = cut(drawn)  # 2 x EXAMPLES rows
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [terms(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in each], pa.list_(pa.string())), pa.array([list(c.values()) for c in each], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+
+    texts = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, toxic int, terms array<string>, counts array<int>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     taken = Counter(r["toxic"] for r in rows)
     rates = tuple(sizes.get(k, 0) / max(1, taken[k]) for k in (0, 1))
-    return fit([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["toxic"] for r in rows], rates)
+    return fit([r["doc_id"] for r in rows], [Counter(dict(zip(r["terms"], r["counts"], strict=True))) for r in rows], [r["toxic"] for r in rows], rates)
 
 
 def score(docs: DataFrame, index: Index, held_out: Column) -> DataFrame:
@@ -194,17 +189,15 @@ def score(docs: DataFrame, index: Index, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        any_term = set(own.vocabulary)
-        cache: dict[tuple, tuple[float, list[int]]] = {}
+        cache: dict[bytes, tuple[float, list[int]]] = {}
         for b in batches:
             scores, evidence = [], []
             for text in b.column(2).to_pylist():
-                counted = Counter(t for t in _TERM.findall(text.lower()) if t in any_term) if text else Counter()
-                key = tuple(sorted(counted.items()))
+                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
                 if key not in cache:
                     if len(cache) > 20_000:
                         cache.clear()
-                    cache[key] = own.score(counted)
+                    cache[key] = own.score(terms(text))
                 s, e = cache[key]
                 scores.append(s)
                 evidence.append(e)
