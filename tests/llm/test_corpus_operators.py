@@ -116,22 +116,50 @@ def test_bk_tree_finds_all_within_the_radius():
         values.append(v)
 
 
+def shares(size, weight, total, cap):
+    """Targets by filling: what sources at their bound leave goes to the others by weight, one round after another."""
+    out, full = {}, set()
+    while True:
+        left = total - sum(cap * size[k] for k in full)
+        free = [k for k in size if k not in full]
+        out = {k: cap * size[k] for k in full} | {k: weight[k] * left / sum(weight[j] for j in free) for k in free}
+        above = {k for k in free if out[k] > cap * size[k]}
+        if not above:
+            return out
+        full |= above
+
+
 def test_mixing_meets_targets(docs, none):
     got = mixing.mix(docs, columns=("source",)).collect()
     again = mixing.mix(docs.repartition(5), columns=("source",)).collect()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, again))
-    size = Counter()
+    own = {}
     for r in rows():
-        size[r[3]] += len(re.findall(WORD, r[1] or ""))
-    names = sorted(size, key=lambda s: (s is None, s or ""))
-    goal = dict(zip(names, mixing.targets([size[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(size.values()), 2.0), strict=True))
+        own.setdefault(r[3], []).append(len(re.findall(WORD, r[1] or "")))
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    size = {k: sum(v) for k, v in own.items()}
+    goal = shares(size, {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}, 1.5 * sum(size.values()), 2.0)
+
+    def rate(k, tilt, n):
+        return min(2.0, math.exp(min(700.0, tilt * n * len(own[k]) / size[k])))
+
+    tilts = {}
+    for k in names:  # the dual by halving
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            tilts[k] = (low + high) / 2
+            low, high = (low, tilts[k]) if sum(n * rate(k, tilts[k], n) for n in own[k]) > goal[k] else (tilts[k], high)
     taken, largest = Counter(), Counter()
     for r in got:
         assert r["taken"] <= 2 * r["size"] and r["source_size"] == size[r["source"]] and math.isclose(r["target"], goal[r["source"]])
+        assert r["copies"] in (math.floor(r["rate"]), math.ceil(r["rate"])) or abs(r["copies"] - r["rate"]) <= 1
+        if goal[r["source"]] < 1.999 * size[r["source"]] and r["size"]:
+            assert math.isclose(r["rate"], rate(r["source"], tilts[r["source"]], r["size"]), rel_tol=1e-5, abs_tol=1e-9)
         taken[r["source"]] += r["taken"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     assert all(abs(taken[s] - goal[s]) <= largest[s] for s in names) and math.isclose(sum(goal.values()), 1.5 * sum(size.values()))
+    assert any(len({round(r["rate"], 6) for r in got if r["source"] == k and r["size"]}) > 3 for k in names)
     assert mixing.mix(none).count() == 0
 
 
