@@ -11,10 +11,12 @@ that Spark must sort are the anchors, not all bytes:
 2. For ranks with several extents the first run of each goes on: its starts are cut at multiples of 8 before the anchor,
    and Spark sorts (rank of what the strings of a block share, rank of the block's extent), both pairs of 64-byte ranks.
 3. For what still has several extents, the pair of 64-byte ranks at offsets 0 and 36 is the rank of a 100-byte string,
-   past the threshold. Spark sorts these by (rank, document, position), and all but the first of each are marked.
+   past the threshold. Spark sorts these by (rank, a second rank from other hashes, document, position), and all but the
+   first of each pair are marked. So strings count as equal if 128 bits of them are; runs, if their anchor's 64 bits and
+   64 more of their whole extent are.
 
-Marked strings are merged to spans and cut out of the texts. Documents are ordered by (doc_id, hash of the text); a null
-doc_id comes first.
+Marked strings are merged to spans and cut out of the texts. Documents are ordered by (doc_id, hash of the text); those
+without a doc_id come before ids from 0 on, in the order of their texts' hashes.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; matches stay inside a document; rows that
 repeat a doc_id and a text are one document, and each such row gets its result; an empty table gives an empty result;
@@ -38,7 +40,7 @@ ANCHOR = 32
 AT_ONCE = 1 << 20
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 #: size of a run: starts in it, with 256 times the anchor's distance from the first; less than 0: that many marked starts.
-_SCHEMA = "rank long, extent long, doc long, key int, at int, size int"
+_SCHEMA = "rank long, extent long, doc long, key long, at int, size int"
 _NAMES = ["rank", "extent", "doc", "key", "at", "size"]
 BLOCK = 8
 
@@ -53,9 +55,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 32 and of the 64 bytes from every position on (shorter by 31 and 63)."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _M[2]
+def ranks(data: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the 32 and of the 64 bytes from every position on (shorter by 31 and 63); other salts, other ranks."""
+    h = (data.astype(np.uint64) + np.uint64(1 + 256 * salt)) * _M[2]
     h ^= h >> np.uint64(32)
     n, out = 1, []
     while n < 64:
@@ -100,7 +102,7 @@ def _parts(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, in
 
 
 def _batch(rank, extent, doc, key, at, size) -> pa.RecordBatch:
-    cols = [rank.view(np.int64), extent.view(np.int64), doc.astype(np.int64), key.astype(np.int32), at.astype(np.int32), size.astype(np.int32)]
+    cols = [rank.view(np.int64), extent.view(np.int64), doc.astype(np.int64), key.astype(np.int64), at.astype(np.int32), size.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES)
 
 
@@ -242,11 +244,13 @@ def _next(length: int, last: bool):
                     here = (first >= begin) & (first < begin + AT_ONCE)
                     if not here.any():
                         continue
-                    _, h64 = ranks(text[begin : begin + AT_ONCE + 2 * length])
+                    part = text[begin : begin + AT_ONCE + 2 * length]
+                    _, h64 = ranks(part)
+                    _, other = ranks(part, 1) if last else (h64, h64)
                     p, core, n = first[here] - begin, shared[here] - begin, size[here]
                     whole = length if last else length - BLOCK + 1
                     rank = _pair(h64[core], h64[core + whole - 64])
-                    extent = np.zeros(len(p), np.uint64) if last else _pair(_pair(h64[p], h64[p + (n & 255) - 1 + length - 64]), n.astype(np.uint64))
+                    extent = _pair(other[p], other[p + length - 64]) if last else _pair(_pair(h64[p], h64[p + (n & 255) - 1 + length - 64]), n.astype(np.uint64))
                     found.append((rank, extent, np.full(len(p), i), first[here], n))
             yield from _send(found, docs, keys)
 
@@ -259,20 +263,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("this operator is built for lengths of 96 to 128 bytes")
     spark = docs.sparkSession
     prepare(spark)
-    # Which of the texts of one doc_id: 32 bits are enough to tell those apart.
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), key.alias("key"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    # The texts of one doc_id are told apart by 64 bits of their hash, those without any id by 63 more of another.
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    key = F.xxhash64(text).bitwiseAND(F.lit(2**63 - 1))
+    none = F.xxhash64(F.lit(7), text).bitwiseOR(F.lit(-(2**63)))
+    rows = docs.select(F.coalesce(doc_id, none).alias("doc"), F.when(doc_id.isNull(), -1 - key).otherwise(key).alias("key"), F.col("text").cast("string").alias("text"), doc_id.alias("doc_id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def sort(sent: DataFrame) -> DataFrame:
+    def sort(sent: DataFrame, last: bool = False) -> DataFrame:
         ordered = sent.repartition(n, "rank").sortWithinPartitions("rank", "extent", "doc", "key", "at")
         left = ordered.mapInArrow(_by_extent, _SCHEMA)
+        left = left.where("size < 0") if last else left
         return left.groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
 
     # The three joins below read one exchange of the texts.
     step = sort(rows.select("doc", "key", "text").where(F.octet_length("text") >= length).mapInArrow(_first_runs(length), _SCHEMA))
     for last in (False, True):
-        step = sort(rows.join(step, ["doc", "key"]).select("doc", "key", "text", "runs", "doc_id").mapInArrow(_next(length, last), _SCHEMA))
+        step = sort(rows.join(step, ["doc", "key"]).select("doc", "key", "text", "runs", "doc_id").mapInArrow(_next(length, last), _SCHEMA), last)
     marked = step.withColumnRenamed("runs", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,12 +203,13 @@ def test_substrings_against_brute_force(spark, none):
     word = lambda n: "".join(rng.choice(list("abcdé ç")) for _ in range(n))
     shared, long = word(180), word(400)
     texts = [word(300), shared + word(90), word(40) + shared + word(70), long, long, long[:250] + "x" + long[250:], "ab" * 200, "z" * 500, "z" * 130, None, "", word(99), word(120) + shared[20:150] + shared[10:170], shared + shared]
-    d = [(i, t) for i, t in enumerate(texts)] + [(3, long), (3, word(50) + shared)]
+    d = [(i, t) for i, t in enumerate(texts)] + [(3, long), (3, word(50) + shared), (None, word(30) + shared), (None, shared + word(20)), (None, word(200)), (None, None)]
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(spark.createDataFrame(d, "doc_id long, text string").withColumn("size", F.lit(1)).repartition(4)).collect())
     keyed = {(i, t): None for i, t in d}
-    hashed = {r["t"]: r["k"] for r in spark.createDataFrame([(t or "",) for _, t in keyed], "t string").distinct().select("t", F.xxhash64("t").bitwiseAND(F.lit(0x7FFFFFFF)).alias("k")).collect()}
+    hashed = {r["t"]: (r["k"], r["other"]) for r in spark.createDataFrame([(t or "",) for _, t in keyed], "t string").distinct().select("t", F.xxhash64("t").bitwiseAND(F.lit(2**63 - 1)).alias("k"), F.xxhash64(F.lit(7), "t").bitwiseAND(F.lit(2**63 - 1)).alias("other")).collect()}
+    place = lambda i, t: (i is not None, hashed[t][1] if i is None else i, -hashed[t][0] if i is None else hashed[t][0])
     seen, out = set(), {}
-    for i, t in sorted(keyed, key=lambda x: (x[0], hashed[x[1] or ""])):
+    for i, t in sorted(keyed, key=lambda x: place(x[0], x[1] or "")):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - 99):
@@ -221,6 +222,16 @@ def test_substrings_against_brute_force(spark, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_texts_without_ids_are_told_apart(spark):
+    """Many texts without an id, of which each repeats another's passage: none is taken for another."""
+    rng = np.random.default_rng(9)
+    passage = ["".join(rng.choice(list("abcdefgh")) for _ in range(120)) for _ in range(20)]
+    d = [(None, f"{k:04d} {passage[k % 20]} end {k}") for k in range(400)]
+    got = substrings.remove_repeats(spark.createDataFrame(d, "doc_id long, text string")).collect()
+    assert Counter(r["n_removed"] > 0 for r in got) == {True: 380, False: 20} and len(got) == 400
+    assert all(120 <= r["n_removed"] <= 140 for r in got if r["n_removed"])
+
+
 def test_lm_counts_exactly_and_scores(docs, none):
     held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(True))
     got = lm.score(docs, held).collect()
