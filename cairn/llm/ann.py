@@ -18,24 +18,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
-from .topk import best, matrices, valid
+from .topk import Held, best, matrices, tile_search, valid
 
 #: Rows that the graph and the classifier are fitted on, at most.
 SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS = 16
+#: Parts at least and at most (64 sample rows each), and rows of a part in between.
+PARTS, MOST_PARTS, PART_ROWS = 16, 128, 65_536
+#: Parts for rows of other dimensions than the model's, by dimension.
+OTHERS = 16
 HIDDEN = 96
 EPOCHS = 12
 #: Share of a sample row's neighbours that must lie in the parts its query goes to.
-RECALL = 0.97
-SLICE = 2048
+RECALL = 0.95
+#: Rows of a tile, about.
+TILE_ROWS = 65_536
 
 
 @dataclass
@@ -97,7 +100,7 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
     return part
 
 
-def fit(x: np.ndarray, parts: int = PARTS, seed: int = 5) -> Model:
+def fit(x: np.ndarray, parts: int, seed: int = 5) -> Model:
     """x: distinct sample vectors."""
     rng, d = np.random.default_rng(seed), x.shape[1]
     k = min(NEIGHBOURS, len(x) - 1)
@@ -139,57 +142,61 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     """query_id, rank, vec_id, score (Euclidean distance on the original vectors)."""
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.where(valid(F.col(vector_col), nonzero=True) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
-    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    rows = vectors.where(valid(F.col(vector_col), nonzero=True) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
     sizes = [len(r["v"]) for r in drawn]
-    schema = "query_id long, rank int, vec_id long, score double"
     if not drawn:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = max(set(sizes), key=lambda s: (sizes.count(s), -s))
-    sample = np.unique(np.array([r["v"] for r in drawn if len(r["v"]) == d]), axis=0)
-    model = fit(sample)
+    sample = np.unique(np.array([r["v"] for r in drawn if len(r["v"]) == d], np.float64), axis=0)
+    model = fit(sample, max(PARTS, min(MOST_PARTS, 1 << (math.ceil(rows.count() / PART_ROWS) - 1).bit_length())))
     parts, sent = len(model.b2), spark.sparkContext.broadcast(model)
 
     def file(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
-        for ids, x in matrices(batches, 4096):
-            ranked = np.argsort(-sent.value.probabilities(x), axis=1, kind="stable")[:, :probes]
-            for j in range(ranked.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.float64())), pa.array(ranked[:, j].astype(np.int32))], ["id", "v", "part"])
-
-    rows = rows.where(F.size("v") == d)
-    filed = cut(rows.select("id", "v").mapInArrow(lambda b: file(b, 1), "id long, v array<double>, part int"))
+        for b in batches:
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            part = np.repeat((parts + size % OTHERS)[:, None], probes, axis=1)
+            part[:, 1:] = -1
+            own = np.flatnonzero(size == d)
+            for _, x in matrices(b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own))):
+                part[own] = np.argsort(-sent.value.probabilities(x), axis=1, kind="stable")[:, :probes]
+            for j in range(probes):
+                used = pa.array(np.flatnonzero(part[:, j] >= 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(used), b.column(1).take(used), pa.array(part[:, j].astype(np.int32)).take(used)], ["id", "v", "part"])
+
+    schema = f"id long, v {rows.schema['v'].dataType.simpleString()}, part int"
+    filed = cut(rows.select("id", "v").mapInArrow(lambda b: file(b, 1), schema))
     asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    asked = cut(asked.mapInArrow(lambda b: file(b, model.probes), "id long, v array<double>, part int"))
-
-    def counts(df: DataFrame) -> list[int]:
-        found = {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}  # a row for each part
-        return [max(1, math.ceil(found.get(p, 0) / SLICE)) for p in range(parts)]
-
-    slices, blocks = counts(filed), counts(asked)
-    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("part") + 1)
-    # Rows of a slice meet each block of queries; queries of a block meet each slice.
-    left = filed.withColumn("slice", F.pmod(F.xxhash64("id"), of(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), of(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), of(slices) - 1)))
-
-    def rerank(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x = own["id"].to_numpy(np.int64), np.stack(own["v"].to_numpy())
-        q_ids, q = queries["id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
-        squares, out = (x**2).sum(1), []
-        for at in range(0, len(q), 256):
-            qs = q[at : at + 256]
+    asked = asked.select("id", "v").mapInArrow(lambda b: file(b, min(model.probes, parts)), schema)
+    counts = {r["part"]: r["count"] for r in filed.groupBy("part").count().collect()}  # a row for each part
+    # A tile holds TILE_ROWS rows, or fewer where that leaves cores idle.
+    wanted = max(1, min(TILE_ROWS, math.ceil(sum(counts.values()) / (4 * spark.sparkContext.defaultParallelism))))
+    tiles = np.array([max(1, math.ceil(counts.get(p, 0) / wanted)) for p in range(parts + OTHERS)])
+    first = np.cumsum(tiles) - tiles
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
+    dealt = filed.withColumn("tile", of(first) + F.pmod(F.xxhash64("id", "v"), of(tiles)).cast("int"))
+    each = asked.withColumn("tile", F.explode(F.sequence(of(first), of(first) + of(tiles) - 1)))
+
+    def ready(held: Held) -> dict:
+        joined = {n: (np.concatenate([p[0] for p in own]), np.concatenate([p[1] for p in own])) for n, own in held.items()}
+        return {n: (ids, x, (x**2).sum(1)) for n, (ids, x) in joined.items()}
+
+    def answer(built: dict, q_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if q.shape[1] not in built:
+            return
+        ids, x, squares = built[q.shape[1]]
+        for at in range(0, len(q), 64):
+            qs, own = q[at : at + 64], q_ids[at : at + 64]
             d2 = squares[None, :] - 2 * (qs @ x.T) + (qs**2).sum(1)[:, None]
-            d2[q_ids[at : at + 256][:, None] == ids[None, :]] = np.inf
+            d2[own[:, None] == ids[None, :]] = np.inf
             kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-            near = (d2 <= (kth + 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0))))[:, None]) & np.isfinite(d2)
-            a, b = np.nonzero(near)
+            # What rounding of the expanded square may hide is ranked by the exact distance.
+            slack = 1e-9 * ((qs**2).sum(1) + squares.max())
+            a, b = np.nonzero((d2 <= (np.where(np.isfinite(kth), kth, np.inf) + slack)[:, None]) & np.isfinite(d2))
             exact = np.sqrt(((qs[a] - x[b]) ** 2).sum(1))
             top = best(a, ids[b], -exact, k)
-            out.append(pd.DataFrame({"query_id": q_ids[at + a[top]], "vec_id": ids[b[top]], "score": exact[top]}))
-        return pd.concat(out)
+            yield pa.RecordBatch.from_arrays([pa.array(own[a[top]]), pa.array(ids[b[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
 
-    key = ["part", "slice", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = tile_search(dealt, each, int(tiles.sum()), ready, answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

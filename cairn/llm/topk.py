@@ -1,9 +1,10 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-Vectors are quantised to integers. Candidates stay where they are read and are laid out by dimension; scores grow block
-by block of dimensions, and after each block the candidates are compacted to those that can still reach a query's k-th
-score: what is left of a score is at most the product of the remaining norms. Queries come in blocks of bounded size, so
-what is broadcast does not grow with the data; each task sends k rows a query at most.
+Vectors are quantised to integers. Candidates are dealt to tiles of bounded size and laid out by dimension; each query is
+sent to every tile, and a tile's task reads its candidates first and then streams the queries, so no task and no driver
+holds all queries. Scores grow block by block of dimensions, and after each block the candidates are compacted to those that
+can still reach a query's k-th score, of which a few exactly scored candidates give the first bound: what is left of a
+score is at most the product of the remaining norms. A tile sends k rows a query at most.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors are compared with
 those of their own dimension; a query is compared with rows of other ids; of query rows that repeat an id the least
@@ -14,7 +15,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 
 SCALE = 256
-QUERIES_AT_ONCE = 2048
-ROWS_AT_ONCE = 8192
+#: Candidates of a tile, about; fewer where that leaves cores idle.
+TILE_ROWS = 65_536
+ROWS_AT_ONCE, QUERIES_AT_ONCE = 8192, 256
 DIMENSIONS_AT_ONCE = 16
+#: Candidates that a query is scored against exactly for its first bound.
+FIRST = 256
 #: Below this share of survivors they are gathered; above it whole blocks are multiplied.
 COMPACT_BELOW = 0.15
 
@@ -37,26 +41,43 @@ def valid(vector: Column, nonzero: bool = False) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0) if nonzero else fine, F.lit(False))
 
 
-def matrices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors as double) of each dimension in runs of about ``rows``."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors as double) of each dimension."""
+    ids, sizes = ids.to_numpy(zero_copy_only=False), vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    at = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == d)
+        yield ids[own], flat[at[own][:, None] + np.arange(d)]
 
-    def flush(d: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = held.pop(d)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        at = np.cumsum(sizes) - sizes
-        for d in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == d)
-            held.setdefault(d, []).append((ids[own], flat[at[own][:, None] + np.arange(d)]))
-            if sum(len(p[0]) for p in held[d]) >= rows:
-                yield flush(d)
-    for d in list(held):
-        yield flush(d)
+Held = dict[int, list[tuple[np.ndarray, np.ndarray]]]
+
+
+def tile_search(rows: DataFrame, queries: DataFrame, tiles: int, ready: Callable[[Held], dict], answer: Callable[[dict, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``answer`` for each batch of queries that meets a tile; rows, queries: tile, id, v, a query once for each tile it meets.
+
+    ``ready`` gets the (ids, vectors) of a tile's rows by dimension. Rows of a tile sort before its queries, so a task
+    holds one tile and one batch of queries.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, built = None, {}, None
+        for b in batches:
+            tile, ask = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (ask[1:] != ask[:-1])))
+            for a, e in zip(edges.tolist(), [*edges[1:].tolist(), len(tile)], strict=True):
+                if tile[a] != now:
+                    now, held, built = tile[a], {}, None
+                for ids, x in matrices(b.column(2).slice(a, e - a), b.column(3).slice(a, e - a)):
+                    if not ask[a]:
+                        held.setdefault(x.shape[1], []).append((ids, x))
+                        continue
+                    built = ready(held) if built is None else built
+                    yield from answer(built, ids, x)
+
+    both = rows.select("tile", F.lit(False).alias("ask"), "id", "v").unionByName(queries.select("tile", F.lit(True).alias("ask"), "id", "v"))
+    return both.repartition(min(tiles, 1 << 15), "tile").sortWithinPartitions("tile", "ask").mapInArrow(run, schema)
 
 
 def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -67,59 +88,62 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - first < k]
 
 
+class Block:
+    """Candidates by dimension, those in which they are large first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids = ids
+        self.order = np.argsort(-np.abs(vectors).mean(0), kind="stable")
+        self.edges = [*range(0, vectors.shape[1], DIMENSIONS_AT_ONCE), vectors.shape[1]]
+        self.tails, self.columns = self.left(vectors[:, self.order]), np.ascontiguousarray(vectors[:, self.order].T)
+
+    def left(self, m: np.ndarray) -> np.ndarray:
+        """Norm of what is left of each row from each edge on."""
+        return np.stack([np.sqrt((m[:, e:] ** 2).sum(1)) for e in self.edges], 1)
+
+
 class Search:
-    """The best k of each query over the candidate runs seen so far."""
+    """The best k of each query over the blocks seen so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.q, self.k = ids, vectors, k
-        d = vectors.shape[1]
-        self.edges = [*range(0, d, DIMENSIONS_AT_ONCE), d]
-        # Dimensions in which the queries are large come first.
-        self.order = np.argsort(-np.abs(vectors).mean(0), kind="stable")
-        self.qs = vectors[:, self.order]
-        self.tails = self._tails(self.qs)
         self.kth = np.full(len(ids), -np.inf)
         self.found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
 
-    def _tails(self, m: np.ndarray) -> np.ndarray:
-        """Norm of what is left of each row from each edge on."""
-        return np.stack([np.sqrt((m[:, e:] ** 2).sum(1)) for e in self.edges], 1)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        x = vectors[:, self.order]
-        tails, columns = self._tails(x), np.ascontiguousarray(x.T)
-        for at in range(0, len(self.ids), 256):
-            part = slice(at, min(at + 256, len(self.ids)))
-            self._part(part, ids, columns, tails)
-
-    def _part(self, part: slice, ids: np.ndarray, columns: np.ndarray, tails: np.ndarray) -> None:
-        q, kth = self.qs[part], self.kth[part]
-        score, alive = np.zeros((len(q), len(ids))), None
-        for step, (lo, hi) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True), 1):
+    def add(self, block: Block) -> None:
+        q = self.q[:, block.order]
+        tails = block.left(q)
+        if len(block.ids) > self.k and not np.isfinite(self.kth).all():
+            score = q @ block.columns[:, :FIRST]
+            score[self.ids[:, None] == block.ids[None, :FIRST]] = -np.inf
+            if score.shape[1] >= self.k:
+                self.kth = np.maximum(self.kth, np.partition(score, -self.k, axis=1)[:, -self.k])
+        # A bound counts as met within this much.
+        least = self.kth - 1e-6 * (1 + np.abs(np.where(np.isfinite(self.kth), self.kth, 0)))
+        score, alive = np.zeros((len(q), len(block.ids))), None
+        for step, (lo, hi) in enumerate(zip(block.edges[:-1], block.edges[1:], strict=True), 1):
             if alive is None:
-                score += q[:, lo:hi] @ columns[lo:hi]
-                bound = score + self.tails[part, step][:, None] * tails[:, step]
-                keep = bound >= (kth - 1e-6 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0))))[:, None]
-                if hi == self.edges[-1] or keep.mean() < COMPACT_BELOW:
+                score += q[:, lo:hi] @ block.columns[lo:hi]
+                keep = score + tails[:, step][:, None] * block.tails[:, step] >= least[:, None]
+                if hi == block.edges[-1] or np.count_nonzero(keep) < COMPACT_BELOW * keep.size:
                     alive = np.nonzero(keep)
                     score = score[alive]
             else:
                 rows, cols = alive
-                score = score + np.einsum("id,di->i", q[rows, lo:hi], columns[lo:hi, cols])
-                keep = score + self.tails[part, step][rows] * tails[cols, step] >= kth[rows] - 1e-6 * (1 + np.abs(np.where(np.isfinite(kth[rows]), kth[rows], 0)))
+                score = score + np.einsum("id,di->i", q[rows, lo:hi], block.columns[lo:hi, cols])
+                keep = score + tails[rows, step] * block.tails[cols, step] >= least[rows]
                 alive, score = (rows[keep], cols[keep]), score[keep]
         rows, cols = alive if alive is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-        rows = rows + part.start
-        other = self.ids[rows] != ids[cols]
+        other = self.ids[rows] != block.ids[cols]
         q_all = np.concatenate([self.found[0], rows[other]])
-        id_all = np.concatenate([self.found[1], ids[cols[other]]])
+        id_all = np.concatenate([self.found[1], block.ids[cols[other]]])
         s_all = np.concatenate([self.found[2], score[other]])
         top = best(q_all, id_all, s_all, self.k)
         self.found = (q_all[top], id_all[top], s_all[top])
         full = np.bincount(self.found[0], minlength=len(self.ids)) >= self.k
         last = np.full(len(self.ids), np.inf)
         np.minimum.at(last, self.found[0], self.found[2])
-        self.kth = np.where(full, last, -np.inf)
+        self.kth = np.where(full, last, self.kth)
 
 
 def _exact(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -136,38 +160,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """query_id, rank, vec_id, score (integer inner product of floor(scale * x))."""
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.where(valid(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
+    rows = vectors.where(valid(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    tiles = max(4 * spark.sparkContext.defaultParallelism, math.ceil(rows.count() / TILE_ROWS))
     queries = cut(rows.where("is_query").groupBy("id").agg(F.min("v").alias("v")))
-    blocks = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
-    schema = "query_id long, vec_id long, score long"
-    out = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()
-        sent = spark.sparkContext.broadcast([(r["id"], list(r["v"])) for r in own])
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            by_size: dict[int, list] = {}
-            for i, v in sent.value:
-                by_size.setdefault(len(v), []).append((i, v))
-            ready = {d: (np.array([i for i, _ in own], np.int64), np.floor(scale * np.array([v for _, v in own]))) for d, own in by_size.items()}
-            state: dict[int, Search] = {}
-            large: list[tuple[int, int, int]] = []
-            for ids, x in matrices(batches, ROWS_AT_ONCE):
-                x, d = np.floor(scale * x), x.shape[1]
-                if d not in ready:
-                    continue
-                q_ids, q = ready[d]
-                if np.abs(x).max() * np.abs(q).max() * d >= 2.0**52:
-                    large += _exact(q_ids, q, ids, x, k)
-                    continue
-                state.setdefault(d, Search(q_ids, q, k)).add(ids, x)
-            for s in state.values():
-                rows, found, scores = s.found
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids[rows]), pa.array(found), pa.array(scores.astype(np.int64))], ["query_id", "vec_id", "score"])
-            if large:
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in large], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-        part = rows.select("id", "v").mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
+    each = queries.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int"))
+    names = ["query_id", "vec_id", "score"]
+
+    def ready(held: Held) -> dict:
+        out = {}
+        for d, parts in held.items():
+            ids, x = np.concatenate([p[0] for p in parts]), np.floor(scale * np.concatenate([p[1] for p in parts]))
+            runs = [slice(a, a + ROWS_AT_ONCE) for a in range(0, len(ids), ROWS_AT_ONCE)]
+            out[d] = float(np.abs(x).max()), [(x[r], Block(ids[r], x[r])) for r in runs]
+        return out
+
+    def answer(built: dict, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d = x.shape[1]
+        if d not in built:
+            return
+        x, (most, blocks) = np.floor(scale * x), built[d]
+        if most * np.abs(x).max() * d >= 2.0**52:
+            large = [r for own, block in blocks for r in _exact(ids, x, block.ids, own, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in large], pa.int64()) for j in range(3)], names)
+            return
+        for at in range(0, len(ids), QUERIES_AT_ONCE):
+            search = Search(ids[at : at + QUERIES_AT_ONCE], x[at : at + QUERIES_AT_ONCE], k)
+            for _, block in blocks:
+                search.add(block)
+            of, found, scores = search.found
+            yield pa.RecordBatch.from_arrays([pa.array(search.ids[of]), pa.array(found), pa.array(scores.astype(np.int64))], names)
+
+    out = tile_search(dealt, each, tiles, ready, answer, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -112,8 +112,55 @@ def test_links_of_large_shards_lose_none(spark, shard):
 def test_bk_tree_finds_all_within_the_radius():
     rng, tree, values = np.random.default_rng(1), simhash.BKTree(), []
     for v in rng.integers(0, 1 << 10, 300).tolist():
-        assert sorted(tree.add(v, 2)) == [i for i, u in enumerate(values) if (u ^ v).bit_count() <= 2]
+        assert sorted(tree.near(v, 2)) == sorted(((u ^ v).bit_count(), u) for u in values if (u ^ v).bit_count() <= 2)
+        tree.add(v)
         values.append(v)
+    assert tree.near(values[0], 0)
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for i in rng.choice(len(out), int(share * len(out)), replace=False):
+        out[i] = f"x{rng.integers(1 << 30)}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_against_all_pairs(spark):
+    """Pairs of a Jaccard similarity well above 0.8 are in one group, and none whose texts have little in common."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{v}" for v in rng.integers(0, 4000, n)]
+    passage = word(60)
+    texts = [word(int(n)) for n in rng.integers(40, 400, 60)] + [word(60) + passage + word(20) for _ in range(30)]
+    texts += [edited(rng, texts[i], share) for i in range(60) for share in (0.005, 0.02, 0.3)] + [texts[0], ["one", "two"], ["one", "two"], ["one", "three"]]
+    d = [(i, " ".join(t).upper()) for i, t in enumerate(texts)] + [(9000, None), (9001, ""), (None, " ".join(texts[1]))]
+    df = spark.createDataFrame(d, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("key", F.lit("k"))
+    got = {r["doc_id"]: bytes(r["component"]) for r in simhash.similar_documents(df, ("doc_id",)).collect()}
+    assert len(got) == len(d) and got[9000] == got[9001] and got[None] == got[1]
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if (both := jaccard(a, texts[j])) >= 0.88:
+                assert got[i] == got[j], (i, j, both)
+    alike = lambda c: [texts[i] for i, x in got.items() if x == c and i is not None and i < len(texts)]
+    for c in set(got.values()):
+        own = alike(c)
+        assert all(max([jaccard(a, b) for b in own if b is not a], default=1) > 0.5 for a in own)
+    assert simhash.similar_documents(df.limit(0), ("doc_id",)).count() == 0
+
+
+def test_similar_documents_of_large_groups(spark, monkeypatch):
+    """Shards far above their bound: near copies stay one group, texts that share half of their words don't become one."""
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{v}" for v in rng.integers(0, 4000, n)]
+    base, passage = word(300), word(100)
+    d = [(i, " ".join(edited(rng, base, 0.01))) for i in range(150)] + [(1000 + i, " ".join(word(60) + passage + word(40))) for i in range(100)]
+    got = {r["doc_id"]: bytes(r["component"]) for r in simhash.similar_documents(spark.createDataFrame(d, "doc_id long, text string"), ("doc_id",)).collect()}
+    assert len({got[i] for i in range(150)}) == 1 and len({got[1000 + i] for i in range(100)}) == 100
 
 
 def shares(size, weight, total, cap):
@@ -310,6 +357,9 @@ def test_topk_is_exact(spark):
     large = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e3, 2.0]), (2, [-1e3, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(large, F.col("vec_id") == 1, k=2).collect()] == [(0, (1 << 63) - 1), (2, 256000 * -256000 + 512 * 128)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert {tuple(r) for r in got} == {tuple(r) for r in topk.top_k(df.withColumns({c: F.lit(1) for c in ("id", "v", "tile", "ask", "is_query")}).repartition(7), F.col("vec_id") % 50 == 0).collect()}
+    few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
+    assert [r["rank"] for r in few] == [1, 2] and topk.top_k(df, F.lit(False)).count() == 0
 
 
 def test_ann_recall_and_scores(spark):
@@ -327,6 +377,17 @@ def test_ann_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_searches_other_dimensions_whole(spark):
+    _, df = vectors(spark)
+    rng = np.random.default_rng(6)
+    other = [(5000 + i, [float(v) for v in rng.normal(size=3)], 0) for i in range(30)]
+    mixed = df.withColumns({c: F.lit(1) for c in ("id", "v", "tile", "ask")}).unionByName(spark.createDataFrame(other, "vec_id long, embedding array<float>, label int"), allowMissingColumns=True)
+    got = ann.nearest(mixed, F.col("vec_id").isin(5000, 603)).collect()
+    x = np.array([np.float32(v) for _, v, _ in other], np.float64)
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [5000 + int(j) for j in np.argsort(d)[1:11]]
+
+
 def test_toxicity_and_its_index(spark, none):
     rng = np.random.default_rng(2)
     bad, plain = ["idiot", "scum", "trash"], [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
@@ -373,10 +434,10 @@ def test_toxicity_neighbours_are_those_of_every_cosine():
     for query in [*counted[:25], toxicity.terms("scum axp never seen before"), toxicity.terms("bzt")]:
         q = weights(query)
         cosine = {i: sum(v * x.get(t, 0.0) for t, v in q.items()) for i, x in enumerate(vectors)}
-        near, found = index.neighbours(*index.vector(query), 15)
+        near, found = next(index.neighbours([index.vector(query)], 15))
         want = sorted((c for c in cosine.values() if c > 1e-12), reverse=True)[:15]
         assert np.allclose(found, want) and all(math.isclose(cosine[int(index.ids[j])], c, abs_tol=1e-9) for j, c in zip(near, found, strict=True))
-    assert len(index.vector(toxicity.terms("never seen"))[0]) == 0 and 0 <= index.score(Counter())[0] <= 1
+    assert len(index.vector(toxicity.terms("never seen"))[0]) == 0 and 0 <= next(index.score([Counter()]))[0] <= 1
 
 
 def test_toxicity_of_repeated_ids_is_the_same_in_reruns(spark):
