@@ -1,18 +1,23 @@
-"""SimHash near-duplicates: fingerprints of 3-word shingles, links by BK-trees, components by alternating stars.
-
-Fingerprints within ``radius`` = 2 bits agree on at least two of four 16-bit blocks, so the six pairs of blocks deal the
-distinct fingerprints to shards that no link can leave unseen. Each shard is a BK-tree: a node's children are keyed by
-their integer Hamming distance to it, and a search follows only edges within the radius of its own distance. A shard's
-tree is built where its members are (trees of all shards would not have a bounded size to broadcast), and a member is
-linked to the components that it touches only, never to each partner, so a shard emits fewer links than members.
-
-A shard above ``SHARD`` members is dealt again by all 65 strings at distance 0 or 1 of its members: two fingerprints are
-within 2 bits exactly if they share one of these, and at most 65 fingerprints share one. No partner is lost and no task
-holds a large shard.
-
-Defined cases: null and wordless texts have fingerprint zero and link like any other; fewer than three words: one shingle
-of them all; rows that repeat a doc_id stay; a null doc_id links like any other but names no component (a component of
-null ids only has a null component_id); an empty table gives an empty result; extra columns are ignored.
+"""SimHash near-duplicates: fingerprints of word shingles, links by BK-trees, components by alternating stars.
+
+``near_duplicates`` links 64-bit fingerprints within ``RADIUS`` = 2 bits, exactly. Such fingerprints agree on at least two of
+four blocks of their bits, so the six pairs of blocks deal the distinct fingerprints to shards that no link can leave
+unseen. A shard above ``SHARD`` members is dealt again in the same way by the bits that its members don't share, up to
+twice, after which it has at most 256. Each shard is a BK-tree: a node's children are keyed by their integer Hamming
+distance to it, and a search follows only edges within the radius of its own distance. A shard's tree is built where its
+members are (trees of all shards would not have a bounded size to broadcast), and a member is linked to the components
+that it touches only, never to each partner, so a shard emits fewer links than members.
+
+``similar_documents`` is for texts whose shingle sets are alike (a Jaccard similarity of 0.8 or more of five-word shingles).
+They differ in about 15 % of a fingerprint's bits, beyond any exact dealing by blocks, and by too much chance in 64 of them:
+fingerprints have 256 bits here, and shards are bands of ``ROWS`` min-hashes, of which such texts share one with a
+probability of 0.99999. In a shard above ``SHARD`` members each part of it is a tree; of members within half the radius of
+a leader only the leader goes on, and the leaders are dealt again with more min-hashes. So passages that many texts share,
+and large groups of near copies, end in small shards.
+
+Defined cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a shingle has: one
+shingle of them all; rows that repeat a doc_id stay; a null doc_id links like any other but names no component (a
+component of null ids only has a null component_id); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, split_words, starts_of
+from .common import cut, prepare, split_words, spread, starts_of
 from .graph import components
 
 SHINGLE = 3
 RADIUS = 2
 SHARD = 1024
-_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 #: Shingles whose bits are counted at once.
 _BITS_AT_ONCE = 1 << 16
+#: Shingles of similar documents, bits of their fingerprints / 64, and what two may differ by: at a similarity of 0.8 they
+#: differ by 39 on average, and one in 10 by more than this.
+WORDS, LONGS, WIDE_RADIUS = 5, 4, 46
+#: Bands of min-hashes, min-hashes of a band, and bands that a large shard's leaders are dealt by again, so often.
+BANDS, ROWS, AGAIN, DEPTH = 16, 3, 6, 4
+_M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
 def _fingerprint(joined: bytes, first: np.ndarray, last: np.ndarray) -> int:
@@ -78,50 +88,32 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, value: int, radius: int) -> list[int]:
-        """Insert ``value``; the earlier nodes within ``radius`` of it."""
-        if not self.values:
-            self.values.append(value)
-            self.children.append({})
-            return []
-        found, todo, values, children = [], [0], self.values, self.children
+    def near(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, value) of the nodes within ``radius`` of ``value``."""
+        found, values, children = [], self.values, self.children
+        todo = [0] if values else []
         while todo:
             node = todo.pop()
             d = (values[node] ^ value).bit_count()
             if d <= radius:
-                found.append(node)
+                found.append((d, values[node]))
             todo += [c for k, c in children[node].items() if d - radius <= k <= d + radius]
-        node = 0
-        while True:
-            d = (values[node] ^ value).bit_count()
-            nxt = children[node].get(d)
-            if nxt is None:
-                children[node][d] = len(values)
-                break
-            node = nxt
-        values.append(value)
-        children.append({})
         return found
 
+    def add(self, value: int) -> None:
+        node, nxt = None, 0 if self.values else None
+        while nxt is not None:
+            node, d = nxt, (self.values[nxt] ^ value).bit_count()
+            nxt = self.children[node].get(d)
+        if node is not None:
+            self.children[node][d] = len(self.values)
+        self.values.append(value)
+        self.children.append({})
+
 
 def shard_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that join the members of one shard which belong together; fewer than members."""
-    tree, root, links = BKTree(), [], []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, value in enumerate(members):
-        root.append(i)
-        for j in tree.add(value, radius):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((tree.values[j], value))
-    return links
+    return tree_links(members, radius, False)[0]
 
 
 def _signed(x: int) -> int:
@@ -151,33 +143,43 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([_signed(a) for a, _ in links], pa.int64()), pa.array([_signed(b) for _, b in links], pa.int64())], ["a", "b"])
 
 
-def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
-    """a, b: links between the distinct fingerprints (column fp) whose components are those of all links."""
-    prepare(distinct.sparkSession)
+def _finer(mask: int) -> list[int]:
+    """Masks of ``mask`` and any two of four blocks of the other bits."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    n = len(free) // 4
+    blocks = [sum(1 << i for i in free[k * n : (k + 1) * n]) for k in range(4)]
+    return [mask | blocks[a] | blocks[b] for a in range(4) for b in range(a + 1, 4)]
 
-    def part(i: int):
-        return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
 
-    keys = F.array(*[F.struct(F.lit(k).alias("pair"), (F.shiftleft(part(a), 16).bitwiseOR(part(b))).alias("bits")) for k, (a, b) in enumerate(_PAIRS)])
-    dealt = distinct.select("fp", F.explode(keys).alias("k")).select(F.col("k.pair").alias("pair"), F.col("k.bits").alias("bits"), "fp")
-    sizes = dealt.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("big", F.col("n") > shard).drop("n")
-    shared = cut(dealt.join(sizes, ["pair", "bits"]).select("pair", "bits", "fp", "big"))
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: list[tuple[int, int]] = []
+    for members in _runs(batches):
+        found += shard_links(members)
+        if len(found) > 50_000:
+            yield _pairs(found)
+            found = []
+    yield _pairs(found)
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for members in _runs(batches):
-            found += shard_links(members)
-            if len(found) > 50_000:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
 
-    small = shared.where("not big").select("pair", "bits", "fp").repartition("pair", "bits").sortWithinPartitions("pair", "bits", "fp").mapInArrow(trees, "a long, b long")
-    flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    near = shared.where("big").select("fp").distinct().select("fp", F.explode(flips).alias("at"))
-    star = near.groupBy("at").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    large = star.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return small.unionByName(large)
+def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """a, b: links between the distinct fingerprints (column fp) whose components are those of all links."""
+    spark = distinct.sparkSession
+    prepare(spark)
+    masks, found = _finer(0), None
+    dealt = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    for level in range(3):
+        dealt = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
+        sizes = dealt.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("big", (F.col("n") > shard) if level < 2 else F.lit(False)).drop("n")
+        dealt = cut(dealt.join(sizes, ["mask", "bits"]).select("mask", "bits", "fp", "big"))
+        small = dealt.where("not big").select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp").mapInArrow(_trees, "a long, b long")
+        found = small if found is None else found.unionByName(small)
+        large = dealt.where("big").select("mask", "fp")
+        if level == 2 or large.isEmpty():
+            return found
+        finer = spark.createDataFrame([(_signed(m), _signed(x)) for m in masks for x in _finer(m)], "mask long, finer long")
+        masks = [x for m in masks for x in _finer(m)]
+        dealt = large.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask"))  # 36 or 216 rows
+    raise AssertionError
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -190,3 +192,160 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
     least = at.groupBy("root").agg(F.min("first").alias("component_id"))
     named = at.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *columns)
+
+
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    out = (h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * _M[1]
+    out ^= out >> np.uint64(29)
+    out *= _M[2]
+    return out ^ (out >> np.uint64(32))
+
+
+def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, in order of the hash, and how many each text has."""
+    flat, counts = split_words(texts, lower=True)
+    coded = flat.dictionary_encode()
+    known = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    word = known[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.uint64)
+    ends = np.repeat(np.cumsum(counts), counts)
+    h, at = word * _M[0], np.arange(len(word))
+    for j in range(1, size):
+        inside = np.flatnonzero(at + j < ends)
+        joined = h[inside] ^ (h[inside] >> np.uint64(31))
+        h[inside] = (joined + word[inside + j]) * _M[0]
+    n = np.where(counts > 0, np.maximum(1, counts - size + 1), 0)
+    h, of = h[spread(starts_of(counts), n)], np.repeat(np.arange(len(counts)), n)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
+    return h[new], np.bincount(of[new], minlength=len(counts))
+
+
+def signatures(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Wide fingerprints (texts, LONGS) and min-hashes (texts, BANDS x ROWS); zeros for a text without words."""
+    h, n = shingle_hashes(texts, size)
+    full, of = np.flatnonzero(n > 0), np.repeat(np.arange(len(n)), n)
+    ones = np.zeros((len(n), 64 * LONGS), np.int32)
+    for a in range(0, len(h), _BITS_AT_ONCE):
+        part, own = h[a : a + _BITS_AT_ONCE], of[a : a + _BITS_AT_ONCE]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        for k in range(LONGS):
+            bits = np.unpackbits(_mix(part, k + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[own[first], 64 * k : 64 * k + 64] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    prints = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)
+    least = np.zeros((len(n), BANDS * ROWS), np.uint64)
+    if len(h):
+        starts = starts_of(n)[full]
+        for k in range(BANDS * ROWS):
+            least[full, k] = np.minimum.reduceat(_mix(h, 100 + k), starts)
+    return prints, least
+
+
+def _band(least: np.ndarray, band: int, level: int) -> np.ndarray:
+    key = np.full(len(least), band + 1000 * level, np.uint64)
+    for k in range(ROWS):
+        key = _mix(key ^ least[:, band * ROWS + k], k + 1)
+    return key.view(np.int64)
+
+
+def tree_links(members: list[int], radius: int, leaders: bool) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join the members of one shard; with ``leaders`` members within half the radius of one are no part of
+    the tree, and the others are returned."""
+    tree, root, out = BKTree(), {}, []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for value in members:
+        near = tree.near(value, radius)
+        root[value] = value
+        for d, j in near:
+            a, b = find(value), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((j, value))
+        if not (leaders and near and min(near)[0] <= radius // 2):
+            tree.add(value)
+    return out, tree.values
+
+
+def _deal(large: bool):
+    """Links of the shards of a partition sorted by (key, part), and with ``large`` the leaders of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+
+        def done() -> pa.RecordBatch:
+            found, leaders = tree_links(members, WIDE_RADIUS, large)
+            raw = lambda values: pa.array([v.to_bytes(8 * LONGS, "little") for v in values], pa.binary())
+            left, right = [a for a, _ in found] + (leaders if large else []), [b for _, b in found]
+            return pa.RecordBatch.from_arrays([raw(left), pa.concat_arrays([raw(right), pa.nulls(len(left) - len(right), pa.binary())]), pa.array([now[0]] * len(left), pa.int64())], ["a", "b", "key"])
+
+        for b in batches:
+            for key, part, node in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (key, part):
+                    if len(members) > 1 or (large and members):
+                        yield done()
+                    now, members = (key, part), []
+                members.append(int.from_bytes(node, "little"))
+        if len(members) > 1 or (large and members):
+            yield done()
+
+    return run
+
+
+def similar_links(signed: DataFrame) -> DataFrame:
+    """a, b: links between nodes (wide fingerprints); ``signed``: node, least (min-hashes as bytes), each node once."""
+
+    def bands(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                least = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, BANDS * ROWS)
+                base = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+                for k in range(BANDS if not level else AGAIN):
+                    band = k if not level else (level * 7 + k * 5) % BANDS
+                    key = _band(least, band, level)
+                    key = key if not level else _mix(base ^ key.view(np.uint64), level).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0)], ["key", "node"])
+
+        return run
+
+    found, open_ = None, signed.where(F.length("least") > 0).select("node", "least", F.lit(0).cast("long").alias("key"))
+    for level in range(DEPTH):
+        dealt = open_.select("node", "least", "key").mapInArrow(bands(level), "key long, node binary")
+        dealt = dealt.distinct() if level else dealt
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        dealt = cut(dealt.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SHARD)).alias("part"), "node", (F.col("n") > SHARD).alias("big")))
+        parts = lambda df: df.select("key", "part", "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        schema = "a binary, b binary, key long"
+        small = parts(dealt.where("not big")).mapInArrow(_deal(False), schema).select("a", "b")
+        found = small if found is None else found.unionByName(small)
+        large = dealt.where("big")
+        if large.isEmpty():
+            break
+        led = cut(parts(large).mapInArrow(_deal(True), schema))
+        found = found.unionByName(led.where("b IS NOT NULL").select("a", "b"))
+        open_ = led.where("b IS NULL").select(F.col("a").alias("node"), "key").join(signed, "node")
+    return found
+
+
+def similar_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of each document and component (bytes): the least wide fingerprint reachable over links."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, least = signatures(b.column(0))
+            none = ~least.any(axis=1)
+            raw = [b"" if x else row.tobytes() for x, row in zip(none, least, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(raw, pa.binary()), *b.columns[1:]], ["node", "least", *columns])
+
+    schema = ", ".join(["node binary, least binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)])
+    signed = cut(docs.select(F.col("text").cast("string"), *columns).mapInArrow(run, schema))
+    each = cut(signed.groupBy("node").agg(F.min("least").alias("least")))
+    joined = components(similar_links(each), "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
+    named = each.select("node").join(joined, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return signed.drop("least").join(named, "node").select(*columns, "component")
