@@ -144,16 +144,28 @@ def findings(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), model: Ran
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with confirmed secrets replaced by ``mark``; n_chars follows the text where there is such a column."""
-    key: Column = F.xxhash64("text")
-    keyed = docs.withColumn("_key", key)
-    sure = findings(keyed, ("doc_id", "_key")).where("confirmed").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.collect_set("finding").alias("_sure"))
-    joined = keyed.join(sure, keyed["doc_id"].eqNullSafe(sure["_id"]) & (keyed["_key"] == sure["_of"]), "left")
+    """``docs`` with confirmed secrets replaced by ``mark``; n_chars follows the text where there is such a column.
+
+    Only texts with a candidate are joined to their findings; the others pass as they are. Rows that repeat an id and a
+    text are redacted each; a null text stays null.
+    """
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"), F.col("doc_id"), F.xxhash64("text").alias("key"), F.col("source"))
+    matched = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    hit = cut(plain.where(matched))
+    sure = findings(hit, ("doc_id", "key")).where("confirmed").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).agg(F.collect_set("finding").alias("_sure"))
+    joined = hit.join(sure, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_of")), "left")
     gaps, found = F.split("text", PATTERN, -1), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
-    parts = F.transform(found, lambda m, i: F.concat(F.get(F.col("_gaps"), i), F.when(F.array_contains("_sure", i), F.lit(mark)).otherwise(m)))
-    clean = F.concat(F.array_join(parts, ""), F.element_at("_gaps", -1))
     joined = joined.withColumn("_gaps", F.when(F.col("_sure").isNotNull(), gaps))
-    out = joined.withColumn("text", F.when(F.col("_sure").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_sure").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    parts = F.transform(found, lambda m, i: F.concat(F.get(F.col("_gaps"), i), F.when(F.array_contains("_sure", i), F.lit(mark)).otherwise(m)))
+    clean = F.when(F.col("_sure").isNotNull(), F.concat(F.array_join(parts, ""), F.element_at("_gaps", -1))).otherwise(F.col("text"))
+    joined = joined.withColumn("clean", clean)
+
+    def column(i: int, name: str) -> Column:
+        if name == "text":
+            return F.col("clean")
+        if name == "n_chars":
+            return F.when(F.col("_sure").isNotNull(), F.length("clean").cast(docs.schema[name].dataType)).otherwise(F.col(f"c{i}"))
+        return F.col(f"c{i}")
+
+    return docs.where(~matched).unionByName(joined.select(*[column(i, c).alias(c) for i, c in enumerate(names)]))
