@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _CONTROL = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 _TAG = re.compile(r"<[^>]*>")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_ANCHOR = re.compile(r"<a\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_ANCHOR = re.compile(r"<a\b([^>]*)>", re.I)
 _BREAK = re.compile(r"</?p\b[^>]*>|<br\b[^>]*>|<hr\b[^>]*>|</?(?:tr|li|table)\b[^>]*>|(?:(?:&nbsp;?| )\s*){3,}", re.I)
 
 
@@ -35,6 +35,11 @@ def unescape(text: str) -> str:
     return unicodedata.normalize("NFC", html.unescape(text))
 
 
+def entity_defects(text: str) -> list[str]:
+    """Entities that no name stands for, and those that lack their semicolon."""
+    return [m[0] for m in re.finditer(r"&[A-Za-z][A-Za-z0-9]*;?", text) if not m[0].endswith(";") and html.unescape(m[0] + ";") != m[0] + ";" or m[0].endswith(";") and html.unescape(m[0]) == m[0]]
+
+
 def collapse(text: str) -> str:
     return " ".join(text.split())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.geodesy import krueger
+
 
 def neighbourhood(edges: DataFrame, source: str, target: str, start: DataFrame, depth: int = 1) -> DataFrame:
     """node, depth: nodes within max(1, depth) steps of ``start`` (column node) in either direction; cycle-safe."""
@@ -38,16 +40,6 @@ def radius_join(points: DataFrame, key: str, x: str, y: str, radius: float) -> D
 
 
 def utm_to_wgs84(easting: Column, northing: Column, zone: int = 30) -> tuple[Column, Column]:
-    """Latitude and longitude (degrees, 7 places) of UTM coordinates on the northern half, by Krüger's series in n."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xi, eta = northing / (0.9996 * big_a), (easting - 500000.0) / (0.9996 * big_a)
-    xi1 = xi - sum((b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(beta)), F.lit(0.0))
-    eta1 = eta - sum((b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(beta)), F.lit(0.0))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi + sum((d * F.sin(2 * (j + 1) * chi) for j, d in enumerate(delta)), F.lit(0.0))
-    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183)
-    return F.round(F.degrees(lat), 7), F.round(lon, 7)
+    """Latitude and longitude (degrees, 7 places) of UTM coordinates on the northern half."""
+    lat, lon = krueger(easting, northing, zone, F)
+    return F.round(lat, 7), F.round(lon, 7)

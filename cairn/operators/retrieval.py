@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+import string
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators.once import once
+
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 FUSION_POOL = 100
@@ -21,8 +25,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-#: Accented Latin letters and their plain ones.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _accents() -> tuple[str, str]:
+    """Letters that are a plain Latin one with marks, then marks alone, which go, and the plain letters."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    kept = {c: p[0] for c, p in parts.items() if len(p) > 1 and p[0] in string.ascii_lowercase}
+    return "".join(kept) + "".join(map(chr, range(0x300, 0x370))), "".join(kept.values())
+
+
+#: Accented Latin letters and combining marks, and the plain letters; the marks have none.
+ACCENTS = _accents()
+_FOLDED = str.maketrans(ACCENTS[0][: len(ACCENTS[1])], ACCENTS[1], ACCENTS[0][len(ACCENTS[1]) :])
 
 
 def fold(text: Column) -> Column:
@@ -35,44 +47,55 @@ def escape_query(query: str) -> list[str]:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl: one row for each distinct term of each document."""
+    """key, term, tf, dl: one row for each distinct term of each document. Written once, it answers any number of queries."""
     split = docs.select(key, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
     return split.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _idf(n: Column, df: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
+
+
+def _weight(tf: Column, dl: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+def bm25_postings(found: DataFrame, key: str, terms: list[str], docs: int, mean: float, k: int = 20) -> DataFrame:
+    """key, score of the k best documents by the postings of single terms alone; ``docs``, ``mean``: documents, mean length."""
+    wanted = sorted({t.lower().translate(_FOLDED) for t in terms})
+    hit = found.where(F.col("term").isin(wanted))
+    held = hit.groupBy("term").agg(F.count("*").alias("_df"))  # a row for each term of the query
+    part = _idf(F.lit(float(docs)), F.col("_df")) * _weight(F.col("tf"), F.col("dl"), F.lit(mean))
+    return hit.join(F.broadcast(held), "term").groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], keep: Column | None = None, k: int = 20, phrases: bool = True) -> DataFrame:
     """key, score of the k best documents; any term matches. Statistics are of all documents, ``keep`` narrows the results.
 
-    Only the query's terms are counted, inside each document's token array: nothing but one row a match is shuffled.
+    Each text is split once: what is left of it, its length and the counts of the query's terms, is written, and both the
+    statistics and the scores read that. Nothing but one row a match is shuffled.
     """
-    wanted = [t for t in terms if t]
-    base = docs.select("*", tokens(F.col(text)).alias("_t")).withColumn("_dl", F.size("_t"))
-    folded = [re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(*ACCENTS))) for t in wanted]
+    folded = [re.findall(r"[^\W_]+", t.lower().translate(_FOLDED)) for t in terms]
     folded = [f for f in folded if f]
     if not folded:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
 
-    def count(parts: list[str]) -> Column:
+    def count(own: Column, parts: list[str]) -> Column:
         if len(parts) == 1 or not phrases:
-            return F.size(F.filter("_t", lambda t: t == parts[0]))
+            return F.size(F.filter(own, lambda t: t == parts[0]))
         # A term with inner punctuation is a phrase.
-        at = F.sequence(F.lit(0), F.greatest(F.col("_dl") - len(parts), F.lit(0)))
-        same = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get("_t", i + j) == p, F.lit(False)) for j, p in enumerate(parts)])
+        at = F.sequence(F.lit(0), F.greatest(F.size(own) - len(parts), F.lit(0)))
+        same = lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(own, i + j) == p, F.lit(False)) for j, p in enumerate(parts)])
         return F.size(F.filter(at, same))
 
-    names = [f"_tf{i}" for i in range(len(folded))]
-    base = base.withColumns({n: count(p) for n, p in zip(names, folded, strict=True)})
-    stats = base.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(n) > 0).alias(f"_df{i}") for i, n in enumerate(names)])
-    scored = base.where(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names]))
-    scored = (scored.where(keep) if keep is not None else scored).crossJoin(F.broadcast(stats))  # one row of statistics
-
-    def part(i: int) -> Column:
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-        tf = F.col(names[i])
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-
-    total = reduce(lambda a, b: a + b, [part(i) for i in range(len(folded))])
+    # The tokens are the variable of a function over one of them, so that no expression splits a text again.
+    one = F.transform(F.array(tokens(F.col(text))), lambda own: F.struct(F.size(own).alias("dl"), F.array(*[count(own, p) for p in folded]).alias("tf")))
+    counted = docs.select(key, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("_keep"), F.explode(one).alias("x"))
+    counted = once(counted.select(key, "_keep", "x.dl", "x.tf"))
+    stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("dl").alias("_mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(folded))]).alias("_df"))
+    scored = counted.where(F.col("_keep") & F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    total = reduce(lambda a, b: a + b, [_idf(F.col("_n"), F.col("_df")[i]) * _weight(F.col("tf")[i], F.col("dl"), F.col("_mean")) for i in range(len(folded))])
     return scored.select(key, total.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
@@ -88,6 +111,20 @@ def knn(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, k
     return rows.select(key, F.sqrt(squared_l2(F.col(vector), q)).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """query, key, distance, rank: the k nearest of each query (columns query, q) by L2, of other keys.
+
+    Rows are dealt to tiles and each query goes to every tile, so neither side is broadcast; a tile keeps k rows a query.
+    """
+    tiles = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.select(key, vector, F.pmod(F.xxhash64(key), F.lit(tiles)).alias("_tile"))
+    asked = queries.select("query", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("_tile"))
+    pairs = dealt.join(asked, "_tile").where((F.col(key) != F.col("query")) & (F.size(vector) == F.size("q")))
+    pairs = pairs.select("query", key, squared_l2(F.col(vector), F.col("q")).alias("_d2"), "_tile")
+    best = pairs.withColumn("_n", F.row_number().over(W.partitionBy("_tile", "query").orderBy("_d2", key))).where(F.col("_n") <= k).drop("_n", "_tile")
+    return ranked(best, ["_d2", key], ["query"]).where(F.col("rank") <= k).select("query", key, F.sqrt("_d2").alias("distance"), "rank")
+
+
 def rrf(rankings: list[tuple[DataFrame, float]], key: str, k: int | None = None) -> DataFrame:
     """key, score = sum of weight / (60 + rank). Each ranking has key and rank (from 1)."""
     parts = [df.select(key, (F.lit(float(w)) / (RRF_K + F.col("rank"))).alias("s")) for df, w in rankings]
@@ -129,8 +166,8 @@ def snippet(text: str | None, terms: list[str], width: int = 18) -> str:
     """The window of ``width`` tokens with most distinct terms, terms in guillemets, an ellipsis where text is cut."""
     if not text:
         return ""
-    wanted = {t.lower().translate(str.maketrans(*ACCENTS)) for t in terms}
-    spans = [(m.start(), m.end(), m[0].lower().translate(str.maketrans(*ACCENTS))) for m in re.finditer(r"[^\W_]+", text)]
+    wanted = {t.lower().translate(_FOLDED) for t in terms}
+    spans = [(m.start(), m.end(), m[0].lower().translate(_FOLDED)) for m in re.finditer(r"[^\W_]+", text)]
     if not spans:
         return ""
     best = max(range(max(1, len(spans) - width + 1)), key=lambda i: (len({t for _, _, t in spans[i : i + width]} & wanted), -i))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 from collections.abc import Iterator
 from pathlib import Path
@@ -10,23 +9,26 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-_LINK = "array<struct<href:string,text:string,bucket:string,target_site:int,is_range:boolean>>"
-#: The nested record of a page.
+_LINK = "array<struct<href:string,text:string,bucket:string,target_site:int,is_range:boolean,unquoted_in_source:boolean>>"
+_FIND = "array<struct<excerpt:string,char_offset:int>>"
+#: The nested record of a page; error: why a page gave none.
 RECORD = f"""site_number int, encoding string,
 title struct<raw:string,site_number:int,stated:int,name:string,name_sort:string,site_type:string,separator:string,balanced:boolean,aliases:array<struct<text:string,kind:string,site_number:int>>>,
-header struct<raw:string,area_raw:string,coordinates:array<struct<raw:string,system:string,zone:string,easting:int,northing:int,vn_ref:string,datum:string,accuracy_code:string,altitude_m:double,label:string,entrance_site_number:int>>,
- quantities:array<struct<label:string,raw:string,kind:string,value_m:double,min_m:double,max_m:double,modifier:string,relation:string,target_sites:array<int>,system_name:string,extra_value_m:double>>>,
+header struct<raw:string,area_raw:string,coordinates:array<struct<raw:string,system:string,zone:string,easting:int,northing:int,vn_ref:string,datum:string,accuracy_code:string,altitude_m:double,label:string,entrance_site_number:int,latitude:double,longitude:double>>,
+ quantities:array<struct<label:string,label_raw:string,raw:string,kind:string,value_m:double,min_m:double,max_m:double,modifier:string,parts:array<double>,unit_stated:boolean,prose:struct<relation:string,target_sites:array<int>,system_name:string,extra_value_m:double>>>,
+ field_order:array<string>,duplicate_labels:array<string>>,
 updated array<struct<raw:string,precision:string,date:date,end_date:date,attribution:string,inferred_month:boolean,inferred_year:boolean,group_index:int>>,
-body struct<text:string,char_count:int,is_minimal:boolean,blocks:array<struct<kind:string,text:string,section_index:int>>,
- sections:array<struct<heading:string,heading_kind:string,canonical:string,block_first:int,block_last:int>>,tables:array<struct<index:int,headers:array<string>,rows:array<array<string>>,looks_like:string>>,
- bat_observations:array<struct<date:date,date_raw:string,fields:map<string,string>>>,cross_refs:array<struct<target_site:int,kind:string,href:string,fragment:string,context:string>>,
- dates:array<struct<raw:string,kind:string,year:int,month:int,day:int,season:string,batch_code:string>>,people:array<struct<name_raw:string,evidence:string,confidence:double>>>,
-footer struct<raw:string,reference_label:string,citations:array<struct<raw:string,ordinal:int,author_raw:string,authors:array<string>,year:int,disambiguator:string,qualifier:string,kind:string,citation_key:string,links:{_LINK},attachments:{_LINK}>>,
+body struct<raw_html:string,text:string,char_count:int,is_minimal:boolean,blocks:array<struct<index:int,kind:string,text:string,section_index:int>>,
+ sections:array<struct<heading:string,heading_kind:string,canonical:string,block_first:int,block_last:int>>,tables:array<struct<index:int,headers:array<string>,rows:array<array<string>>,looks_like:string>>,editorial_notes:array<string>,
+ bat_observations:array<struct<date:date,date_raw:string,fields:map<string,string>>>,cross_refs:array<struct<target_site:int,kind:string,from_zone:string,href:string,fragment:string,link_text:string,context:string>>,
+ dates:array<struct<raw:string,kind:string,year:int,month:int,day:int,season:string,batch_code:string>>,people:array<struct<name_raw:string,name_canonical:string,evidence:string,confidence:double>>>,
+footer struct<raw:string,reference_label:string,citations:array<struct<raw:string,ordinal:int,author_raw:string,authors:array<string>,year:int,disambiguator:string,qualifier:string,qualifier_is_known:boolean,kind:string,citation_key:string,links:{_LINK},attachments:{_LINK}>>,
  fields:array<struct<label_raw:string,label:string,is_known_label:boolean,order:int,text:string,is_empty:boolean,links:{_LINK}>>>,
 segments_found map<string,boolean>, is_stub boolean, override_status string,
-notes struct<blank:boolean,mojibake:boolean,replaced:boolean,body_tag:boolean,body_close:boolean,speech:boolean,script:boolean,title_swapped:boolean,header_tail:boolean,header_closers:int,updated_open:boolean,updated_nested:boolean,rejected_dates:int,footer_bare:boolean,header_words:int,footer_words:boolean,own_links:int>,
-passages array<struct<kind:string,text:string,section_heading:string,block_first:int,block_last:int>>"""
+notes struct<blank:boolean,mojibake:{_FIND},replaced:{_FIND},body_tag:boolean,body_close:boolean,speech:boolean,script:boolean,title_swapped:boolean,header_tail:boolean,header_closers:int,updated_open:string,updated_nested:string,rejected_dates:array<string>,footer_bare:boolean,header_words:array<string>,footer_words:boolean,own_links:int>,
+passages array<struct<kind:string,text:string,section_heading:string,block_first:int,block_last:int>>, error string"""
 
 
 def page_name(number: int) -> str:
@@ -47,16 +49,26 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None) -> D
     ``overrides`` are written by hand, one file a site, so they travel with the task.
     """
     fixes = overrides or {}
+    kept = "path string, byte_size long, content_sha256 string"
+    schema = to_arrow_schema(pages.sparkSession.createDataFrame([], RECORD).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(number: int, raw: bytes) -> dict:
         from cairn.functions.pages import parse_page
 
+        try:
+            record = parse_page(number, raw, fixes.get(number))
+        except Exception as e:  # a page that cannot be read is a row that says so, not a failed build
+            return {"site_number": number, "error": f"{type(e).__name__}: {e}"}
+        for own in (record["segments_found"], *record["body"]["bat_observations"]):
+            own |= {"fields": list(own["fields"].items())} if "fields" in own else {}
+        return record | {"segments_found": list(record["segments_found"].items())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            records = [json.dumps(parse_page(n, raw, fixes.get(n)), default=str, ensure_ascii=False) for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.string()), b.column(2), b.column(3), b.column(4)], ["record", "path", "byte_size", "content_sha256"])
+            own = pa.RecordBatch.from_pylist([parse(n, raw) for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], schema)
+            yield pa.RecordBatch.from_arrays([*own.columns, *b.columns[2:]], [*own.schema.names, *b.schema.names[2:]])
 
-    raw = pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, "record string, path string, byte_size long, content_sha256 string")
-    return raw.select(F.from_json("record", RECORD).alias("r"), "path", "byte_size", "content_sha256").select("r.*", "path", "byte_size", "content_sha256")
+    return pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, f"{RECORD}, {kept}")
 
 
 def presence(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
@@ -65,6 +77,12 @@ def presence(spark: SparkSession, folder: str, first: int, last: int) -> DataFra
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias("site_number")).join(have, F.col("site_number") == F.col("n"), "left").select("site_number", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+def unknown_areas(path: str) -> list[str]:
+    """What pages write where the area is not known."""
+    data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    return list(data.get("unknown", {}).get("markers", []))
+
+
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
     """folded, name, slug: every spelling of the area vocabulary."""
     from cairn.functions.text import fold

@@ -4,7 +4,7 @@ import pytest
 
 from cairn.functions import body, overrides, passages
 from cairn.functions.pages import parse_page
-from cairn.plans import library, model, quality
+from cairn.plans import embedding, library, model, quality
 from cairn.sources import pages
 
 PAGE = """<HTML><BODY><BIG><B>{n:04d}: {name}</B></BIG><BR><SMALL><B>Area</B> 30T {e} 4798123 (Datum: ETRS89. Accuracy code: <B>G</B>) <B>Altitude</B> 365m <B>Length</B> {length}m
@@ -72,17 +72,16 @@ def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("site")
     for n, own in ((1, {}), (2, {"word": "sandy"}), (3, {"word": "muddy muddy", "e": 460000})):
         (folder / f"{n:04d}.htm").write_bytes(page(n, **own))
+    (tmp_path_factory.getbasetemp() / "areas.toml").write_text('[canonical."The Area"]\nslug = "the_area"\nvariants = ["Area", "Ärea"]\n[unknown]\nmarkers = ["?"]\n', encoding="utf-8")
     out = str(tmp_path_factory.mktemp("build"))
-    pages.parse_pages(pages.read_pages(spark, str(folder))).write.parquet(f"{out}/silver")
-    silver = spark.read.parquet(f"{out}/silver")
-    own = library.tables(silver)
-    library.write(own, f"{out}/v1")
-    return silver, library.read(spark, f"{out}/v1", list(own))
+    own = library.build(spark, str(folder), out, str(tmp_path_factory.getbasetemp() / "areas.toml"))
+    return own["silver"], own
 
 
 def test_counts_and_links(built):
     silver, own = built
     got = {r["label"]: r["value"] for r in library.counts(own).collect()}
+    assert (got["area"], got["area_variant"], got["site_text"], got["citation_author"], got["author"]) == (1, 2, 3, 1, 1)
     assert (got["site"], got["section"], got["body_table"], got["person"], got["citation"], got["chunk"]) == (3, 3, 3, 2, 1, 15)
     refs = {(r["from_site"], r["to_site"], r["is_resolved"]) for r in own["cross_reference"].collect()}
     assert refs == {(1, 2, True), (3, 2, True), (1, 1975, False), (2, 1975, False), (3, 1975, False)}
@@ -139,3 +138,79 @@ def test_quality(spark, built, tmp_path):
     assert {r["segment"]: r["pages"] for r in quality.coverage(got).collect()}["title"] == 1
     with pytest.raises(ValueError):
         quality.review(got, "grave")
+
+
+def test_build_is_gated_and_points_at_the_last_one(spark, built, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "0001.htm").write_bytes(page(1))
+    (tmp_path / "a.toml").write_text('[canonical."Elsewhere"]\nslug = "elsewhere"\n', encoding="utf-8")
+    with pytest.raises(library.UnmappedAreas, match="'Area'"):
+        library.build(spark, str(tmp_path / "p"), str(tmp_path / "b"), str(tmp_path / "a.toml"))
+    assert not (tmp_path / "b" / "current").exists()
+    assert library.build(spark, str(tmp_path / "p"), str(tmp_path / "b"))["site"].count() == 1
+    (tmp_path / "p" / "0002.htm").write_bytes(page(2))
+    library.build(spark, str(tmp_path / "p"), str(tmp_path / "b"))
+    assert library.current(spark, str(tmp_path / "b"))["site"].count() == 2
+
+
+def test_areas_stats_audit_show(spark, built, tmp_path):
+    silver, own = built
+    assert [r["site_number"] for r in library.Filters(area="the_ar").sites(own).orderBy("site_number").collect()] == [1, 2, 3]
+    assert library.Filters(area="nowhere").sites(own).count() == 0
+    stats = {r["label"]: r["value"] for r in library.stats(own).collect()}
+    assert len(stats) == 31 and (stats["sites"], stats["  with an area"], stats["  with coordinates"], stats["areas"], stats["  to a missing page"], stats["  errors"]) == (3, 3, 3, 1, 3, 0)
+    for n, extra in ((1, b""), (2, b" "), (4, b"")):
+        (tmp_path / f"{n:04d}.htm").write_bytes((page(n) if n != 2 else page(2, word="sandy")) + extra)
+    found = pages.read_pages(spark, str(tmp_path))
+    changes, metrics = library.audit(own, found)
+    assert [(r["site_number"], r["change"]) for r in changes.collect()] == [(2, "changed"), (4, "new"), (3, "vanished")]
+    assert {r["metric"]: r["value"] for r in metrics.collect()}["citations"] == 3 and metrics.count() == 7
+    again = library.reparse(silver, found)
+    assert sorted(r["site_number"] for r in again.collect()) == [1, 2, 4]
+    one = library.show(own, 1).first()
+    assert (one["name"], len(one["quantity"]), one["cross_reference"][0]["to_site"]) == ("Cave 1", 1, 2)
+    assert 43.2 < one["latitude"] < 43.5 and -3.7 < one["longitude"] < -3.4
+
+
+def test_embedding_and_failing_encoders(built):
+    _, own = built
+    v = embedding.embed_pending(own["chunk"])
+    assert v.count() == own["chunk"].count() and embedding.embed_pending(own["chunk"], v).count() == 0
+    assert embedding.is_available(v) and not embedding.is_available(None) and not embedding.is_available(v.limit(0))
+    both = own | {"vector": v}
+    assert library.search_passages(both, "sandy passage", limit=3, encode=embedding.encode_query).first()["site_number"] == 2
+
+    def fails(_):
+        raise OSError("no model")
+
+    def missing(_):
+        raise embedding.EncoderMissing("no package")
+
+    assert {r["site_number"] for r in library.search_passages(both, "sandy", encode=fails).collect()} == {2}
+    with pytest.raises(embedding.EncoderMissing):
+        library.search_passages(both, "sandy", encode=missing)
+    q = own["site"].sparkSession.createDataFrame([("sandy", [2], "a")], "query string, expect array<int>, kind string")
+    assert library.compare(both, q, embedding.encode_query).first()["verdict"] == "level"
+
+
+def test_a_page_that_fails_is_a_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, page(1)), (2, None)], "site_number int, content binary").select("site_number", "content", F.lit("p").alias("path"), F.lit(1).cast("long").alias("byte_size"), F.lit("d").alias("content_sha256"))
+    got = {r["site_number"]: r for r in pages.parse_pages(rows).collect()}
+    assert got[1]["error"] is None and got[2]["error"] and got[2]["title"] is None
+
+
+def test_commands(spark, built, tmp_path, capsys):
+    from cairn.__main__ import main
+
+    (tmp_path / "0007.htm").write_bytes(page(7))
+    for command in ("decode", "segment", "parse"):
+        main([command, str(tmp_path / "0007.htm")])
+    out = str(tmp_path / "builds")
+    main(["build", str(tmp_path), "--out", out], spark)
+    for line in ("stats", f"audit {tmp_path}", "review", "embed", "search muddy --vectors", "show 7", "nearby 7", "graph 7", f"export {tmp_path}/json"):
+        name, *rest = line.split()
+        main([name, *rest, "--out", out], spark)
+    said = capsys.readouterr().out
+    assert '"encoding": "utf-8"' in said and "Cave 7" in said and spark.read.json(f"{tmp_path}/json").count() == 1

@@ -64,7 +64,7 @@ def test_pages_to_tables(spark, tmp_path):
     assert {r["kind"] for r in model.site_alias(silver).collect()} == {"entrance_qualifier", "system_name"}
     works = model.citation(model.citation_use(silver))
     assert {(r["citation_key"], r["site_count"]) for r in works.collect()} == {("corrin j|1983||", 1), ("raw:material in file", 1)}
-    assert [r["bucket"] for r in model.resource_link(silver).collect()] == ["entrance_pics"]
+    assert [r["bucket"] for r in model.resource_link(silver).collect()] == ["entrance_pics"] and round(s["latitude"], 3) == 43.335
     assert pages.presence(spark, str(tmp_path), 1, 2).where("present").count() == 1
     with pytest.raises(FileNotFoundError):
         pages.read_pages(spark, _empty(tmp_path))
@@ -75,6 +75,60 @@ def _empty(tmp_path):
     return str(tmp_path / "empty")
 
 
+def test_islands_across_blocks_and_their_text(spark):
+    edge = relational.BLOCK
+    d = spark.createDataFrame([(v,) for v in (1, 2, 3, 7, edge - 1, edge, edge + 1, 2 * edge, None, 2)], "v long")
+    assert sorted(map(tuple, relational.islands(d, "v").collect())) == [(1, 3), (7, 7), (edge - 1, edge + 1), (2 * edge, 2 * edge)]
+    assert relational.range_text(d.where("v < 10"), "v").first()["text"] == "0001-0003, 0007"
+    assert relational.range_text(spark.range(0, 40, 2), "id", 3).first()["text"] == "0000, 0002, 0004, ... (+17 more ranges)"
+    assert relational.range_text(d.limit(0), "v").first()["text"] == "none"
+
+
+def test_carry_is_the_same_in_any_buckets(spark):
+    rows = [("a", i, i % 3 == 0, float(i) if i % 4 == 1 else None) for i in range(20)] + [("b", 5, True, None)]
+    d = spark.createDataFrame(rows, "k string, at int, head boolean, v double").withColumn("n", F.col("at") * 10)
+    got = [sorted(map(str, relational.carry(d, ["k"], ["at"], F.floor(F.col("at") / width), F.col("head"), following="n", kept=F.col("v")).select("k", "at", "section", "next_value", "context").collect())) for width in (1, 3, 100)]
+    assert got[0] == got[1] == got[2]
+    last = [r for r in relational.carry(d, ["k"], ["at"], F.floor(F.col("at") / 3), F.col("head"), following="n", kept=F.col("v")).collect() if r["k"] == "a"]
+    assert [(r["section"], r["next_value"], r["context"]) for r in sorted(last, key=lambda r: r["at"])][:3] == [(1, 10, 1.0), (1, 20, 1.0), (1, 30, 5.0)]
+
+
+def test_overlap_anti_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(3)
+    spans = [(i, rnd.choice("ab"), s, s + rnd.randint(1, 30)) for i in range(60) for s in [rnd.randint(0, 200)]]
+    mine, others = spans[:40], spans[40:]
+    frame = lambda own: spark.createDataFrame(own, "id int, k string, s int, e int")
+    got = {r["id"] for r in relational.overlap_anti(frame(mine), frame(others), "k", "s", "e", 16).collect()}
+    assert got == {i for i, k, s, e in mine if not any(k == q and s < z and y < e for _, q, y, z in others)}
+
+
+def test_ids_without_gaps_are_the_same_in_reruns(spark):
+    d = spark.range(500).select(F.concat(F.lit("n"), "id").alias("name"))
+    ids = lambda df: {r["name"]: r["id"] for r in model.surrogate(df, "id", "name").collect()}
+    assert ids(d) == ids(d.repartition(7)) and sorted(ids(d).values()) == list(range(1, 501))
+
+
+def test_bm25_by_postings_and_one_split(spark):
+    d = spark.createDataFrame([(i, f"cave number {i} " + "shaft " * (i % 4) + "long " * (i % 3)) for i in range(50)], "k int, text string")
+    direct = retrieval.bm25(d, "k", "text", ["shaft", "long"])
+    lengths = retrieval.postings(d, "k", "text").groupBy("k").agg(F.max("dl").alias("dl")).agg(F.avg("dl")).first()[0]
+    stored = retrieval.bm25_postings(retrieval.postings(d, "k", "text"), "k", ["shaft", "long"], 50, lengths)
+    assert [(r["k"], round(r["score"], 9)) for r in direct.collect()] == [(r["k"], round(r["score"], 9)) for r in stored.collect()]
+
+
+def test_knn_batch_against_all_pairs(spark):
+    d = spark.createDataFrame([(i, [float(i * 7 % 11), float(i * 5 % 13)]) for i in range(40)], "k int, v array<double>")
+    got = {}
+    for r in retrieval.knn_batch(d, d.where("k < 5").select(F.col("k").alias("query"), F.col("v").alias("q")), "k", "v", 3).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["k"]))
+    v = {i: (i * 7 % 11, i * 5 % 13) for i in range(40)}
+    for q in range(5):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)[:3]
+        assert [k for _, k in sorted(got[q])] == [i for _, i in want]
+
+
 def test_registry_imports():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
