@@ -15,7 +15,6 @@ sorts first; rows that repeat a doc_id are scored each; extra columns are ignore
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,9 @@ BLOCK = 128
 SURE = 3.0
 #: Weight of the rate of all labelled rows in a vote; a neighbour's is its squared cosine.
 PRIOR = 0.05
+#: Terms that stand in at least one of so many examples, but at most so many of them, are frequent.
+OFTEN, MOST_OFTEN = 32, 512
+AT_ONCE = 128
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -46,14 +49,15 @@ def terms(text: str | None) -> Counter:
 @dataclass
 class Index:
     vocabulary: dict[str, int]
-    #: Of each term: idf times what it tells; ``new``: idf of a term that no example holds.
+    #: Of each term: idf times what it tells; the last: idf of a term that no example holds.
     weight: np.ndarray
-    new: float
+    #: Weights of the frequent terms, which come first in the vocabulary, by term and example.
+    dense: np.ndarray
     labels: np.ndarray
     votes: np.ndarray
     ids: np.ndarray
     rate: float
-    #: Postings by term: examples in ascending order with weights; by term and block: the first posting and the bound.
+    #: Postings of the other terms: examples in ascending order with weights; by term and block: the first posting and the bound.
     post_id: np.ndarray
     post_w: np.ndarray
     block_at: np.ndarray
@@ -67,46 +71,63 @@ class Index:
         """Known terms and their weights; with those of the other terms, which no example holds, of length 1."""
         place = self.vocabulary.get
         t = np.array([place(x, -1) for x in counted], np.int64)
-        w = (1 + np.log(np.fromiter(counted.values(), float, len(t)))) * np.append(self.weight, self.new)[t]
+        w = (1 + np.log(np.fromiter(counted.values(), float, len(t)))) * self.weight[t]
         by = np.argsort(t)[np.count_nonzero(t < 0) :]
         return t[by], w[by] / max(1e-300, np.linalg.norm(w))
 
-    def neighbours(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0, ties to the smaller place, and the cosines."""
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the k examples of the largest cosine above 0 (other than ``but``), ties to the smaller place, and
+        the cosines."""
+        often = len(self.dense)
+        q = np.zeros((len(vectors), often))
+        for i, (t, w) in enumerate(vectors):
+            n = np.searchsorted(t, often)
+            q[i, t[:n]] = w[:n]
+        common = q @ self.dense
+        for i, (t, w) in enumerate(vectors):
+            n = np.searchsorted(t, often)
+            yield self._near(common[i], t[n:], w[n:], k, -1 if but is None else but[i])
+
+    def _near(self, common: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """``common``: what the frequent terms give each example; t, w: the others."""
+        if not len(common):
+            return np.empty(0, np.int64), common
         n = self.block_at[t + 1] - self.block_at[t]
         entries, weight = spread(self.block_at[t], n), np.repeat(w, n)
-        blocks = self.block_id[entries]
-        bound = np.bincount(blocks, weights=weight * self.block_max[entries], minlength=-(-len(self.labels) // BLOCK))
+        blocks, starts = self.block_id[entries], np.arange(0, len(common), BLOCK)
+        bound = np.maximum.reduceat(common, starts) + np.bincount(blocks, weights=weight * self.block_max[entries], minlength=len(starts))
         order = np.argsort(-bound, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         by = np.argsort(place[blocks], kind="stable")
         entries, weight, edges = entries[by], weight[by], np.searchsorted(place[blocks][by], np.arange(len(order) + 1))
-        cosines, kth, at, step = np.zeros(len(self.labels)), 0.0, 0, 2
+        cosines, kth, at, step = np.zeros(len(common)), 0.0, 0, 2
         while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-12:
-            own = slice(edges[at], edges[min(len(order), at + step)])
+            to = min(len(order), at + step)
+            own = slice(edges[at], edges[to])
             size = self.block_from[entries[own] + 1] - self.block_from[entries[own]]
             places = spread(self.block_from[entries[own]], size)
             cosines += np.bincount(self.post_id[places], weights=np.repeat(weight[own], size) * self.post_w[places], minlength=len(cosines))
+            for x in order[at:to].tolist():
+                cosines[x * BLOCK : (x + 1) * BLOCK] += common[x * BLOCK : (x + 1) * BLOCK]
             if but >= 0:
                 cosines[but] = 0
             kth = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-            at, step = at + step, step * 2
+            at, step = to, step * 2
         near = np.flatnonzero(cosines >= max(kth, 1e-12))
         top = near[np.lexsort((near, -cosines[near]))][:k]
         return top, cosines[top]
 
-    def vote(self, counted: Counter, but: int = -1) -> tuple[float, np.ndarray]:
-        t, w = self.vector(counted)
-        near, cosines = self.neighbours(t, w, NEIGHBOURS, but) if len(t) else (np.empty(0, np.int64), np.empty(0))
-        weight = cosines**2 * self.votes[near]
-        return float((weight @ self.labels[near] + PRIOR * self.rate) / (weight.sum() + PRIOR)), near
+    def votes_of(self, counted: list[Counter], but: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        for near, cosines in self.neighbours([self.vector(c) for c in counted], NEIGHBOURS, but):
+            weight = cosines**2 * self.votes[near]
+            yield float((weight @ self.labels[near] + PRIOR * self.rate) / (weight.sum() + PRIOR)), near
 
-    def score(self, counted: Counter) -> tuple[float, list[int]]:
-        if not len(self.labels):
-            return 0.0, []
-        raw, near = self.vote(counted)
-        return float(np.interp(raw, *self.curve)), self.ids[near].tolist()
+    def score(self, counted: list[Counter]) -> Iterator[tuple[float, list[int]]]:
+        """Score and evidence of each text."""
+        for at in range(0, len(counted), AT_ONCE):
+            for raw, near in self.votes_of(counted[at : at + AT_ONCE]):
+                yield (float(np.interp(raw, *self.curve)), self.ids[near].tolist()) if len(self.labels) else (0.0, [])
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,25 +156,29 @@ def fit(ids: list[int], counted: list[Counter], labels: list[int], rates: tuple[
     lead = [min(((-n, t) for t, n in c.items()), default=(0, ""))[1] for c in counted]
     order = sorted(range(len(ids)), key=lambda i: (lead[i], labels[i], ids[i]))
     ids, counted, y = [ids[i] for i in order], [counted[i] for i in order], np.array([labels[i] for i in order], np.int64)
-    vocabulary = {t: i for i, t in enumerate(sorted({t for c in counted for t in c}))}
+    held = Counter(t for c in counted for t in c)
+    often = sorted((t for t, n in held.items() if n * OFTEN >= len(ids)), key=lambda t: (-held[t], t))[:MOST_OFTEN]
+    vocabulary = {t: i for i, t in enumerate([*often, *sorted(held.keys() - set(often))])}
     own = [sorted((vocabulary[t], n) for t, n in c.items()) for c in counted]
     term, example = np.array([t for o in own for t, _ in o], np.int64), np.repeat(np.arange(len(own)), [len(o) for o in own])
-    n1, held = int(y.sum()), np.bincount(term, minlength=len(vocabulary))
+    n1, df = int(y.sum()), np.bincount(term, minlength=len(vocabulary))
     toxic = np.bincount(term, weights=y[example], minlength=len(vocabulary))
-    weight = (np.log((1 + len(y)) / (1 + held)) + 1) * _telling(toxic, held - toxic, n1, len(y) - n1)
+    weight = (np.log((1 + len(y)) / (1 + df)) + 1) * _telling(toxic, df - toxic, n1, len(y) - n1)
     value = (1 + np.log(np.array([n for o in own for _, n in o], float))) * weight[term]
     value /= np.sqrt(np.bincount(example, weights=value**2, minlength=len(own)))[example]
-    by = np.lexsort((example, term))
+    dense = np.zeros((len(often), len(own)))
+    dense[term[term < len(often)], example[term < len(often)]] = value[term < len(often)]
+    by = np.lexsort((example, term))[np.count_nonzero(term < len(often)) :]
     term, example, value = term[by], example[by], value[by]
-    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))) if len(term) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))[: len(term)])
     votes = np.where(y == 1, rates[1], rates[0]).astype(float)
     votes /= votes.mean() if len(votes) else 1
     index = Index(
-        vocabulary, weight, float(np.log(1 + len(y)) + 1), y.astype(float), votes, np.array(ids, np.int64), float(votes @ y / max(1e-9, votes.sum())), example.astype(np.int32), value, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)),
-        example[first] // BLOCK, np.append(first, len(term)), np.maximum.reduceat(value, first) if len(first) else value, (np.zeros(1), np.zeros(1)),
+        vocabulary, np.append(weight, np.log(1 + len(y)) + 1), dense, y.astype(float), votes, np.array(ids, np.int64), float(votes @ y / max(1e-9, votes.sum())), example.astype(np.int32), value,
+        np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), example[first] // BLOCK, np.append(first, len(term)), np.maximum.reduceat(value, first) if len(first) else value, (np.zeros(1), np.zeros(1)),
     )
     if len(y):
-        raws = np.array([index.vote(c, but=i)[0] for i, c in enumerate(counted)])
+        raws = np.array([raw for raw, _ in index.votes_of(counted, list(range(len(y))))])
         index.curve = _isotonic(raws, index.labels, votes)
     return index
 
@@ -189,18 +214,10 @@ def score(docs: DataFrame, index: Index, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        cache: dict[bytes, tuple[float, list[int]]] = {}
         for b in batches:
-            scores, evidence = [], []
-            for text in b.column(2).to_pylist():
-                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-                if key not in cache:
-                    if len(cache) > 20_000:
-                        cache.clear()
-                    cache[key] = own.score(terms(text))
-                s, e = cache[key]
-                scores.append(s)
-                evidence.append(e)
+            texts = pc.fill_null(b.column(2), "").dictionary_encode()
+            found = list(own.score([terms(t) for t in texts.dictionary.to_pylist()]))
+            scores, evidence = zip(*(found[i] for i in texts.indices.to_pylist()), strict=True) if b.num_rows else ((), ())
             value = np.array(scores, np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
