@@ -27,8 +27,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 PHASES = 32
-#: Rows of a source and size that one task ranks, about.
-SALT_ROWS = 100_000
+#: Parts that the rows of a source and size are ranked in: at least, and rows of a part where there are more.
+SALTS, SALT_ROWS = 32, 50_000
 NEWTON_STEPS = 60
 #: Sources are a dimension table: the driver holds one row for each. More than this many is an error, not a cut.
 MAX_SOURCES = 2_000_000
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     smaller = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
     rated = rated.withColumn("_under", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(smaller), F.lit(0.0))).select(F.col("source").alias("of"), F.col("size").alias("_size"), "source_size", "target", "rate", "_under")
     rated = cut(rated)
-    salts = max(1, math.ceil(base.count() / SALT_ROWS))
+    salts = max(SALTS, math.ceil(base.count() / SALT_ROWS))
     ranked = salted_rank(base, ["source", "size"], [F.xxhash64(id_col), F.col(id_col)], F.xxhash64(id_col, F.lit(1)), salts, "_equal")
     placed = cut(ranked.join(rated, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("_size"))).drop("of", "_size"))
 
