@@ -101,6 +101,22 @@ def group_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A key is hot beyond so many rows, and beyond so many parts of all rows: at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, a row for each key with how many rows of ``many`` have it (of ``total``).
+
+    Rows of a hot key stay where they are: the rows of ``one`` for hot keys are broadcast, HOT_KEYS at most.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = one.where(F.col(count) > least).drop(count).withColumn("_hot", F.lit(True))
+    marked = many.join(F.broadcast(hot), key, "left")
+    rest = marked.where("_hot IS NULL").select(*many.columns).join(one.where(F.col(count) <= least).drop(count), key)
+    return marked.where("_hot").drop("_hot").unionByName(rest.select(*marked.drop("_hot").columns))
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, name: str) -> DataFrame:
     """Rank from 0 within ``keys`` without bringing a key's rows together.
 

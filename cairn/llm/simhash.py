@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, split_words, spread, starts_of
+from .common import cut, join_counted, prepare, split_words, spread, starts_of
 from .graph import components
 
 SHINGLE = 3
@@ -186,12 +186,12 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links), component (a number
     of its own for each, those without any id too) and ``columns``."""
     prints = cut(fingerprints(docs, columns))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     joined = components(links(distinct.select("fp")), "a", "b")  # node, root: of fingerprints with a link
-    at = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = at.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = at.join(least, "root").select("fp", "component_id", F.col("root").alias("component"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *columns)
+    at = cut(distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")))
+    least = at.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    named = join_counted(at, least, "root", "prints", at.count()).select("fp", "component_id", F.col("root").alias("component"), "rows")
+    return join_counted(prints, cut(named), "fp", "rows", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", *columns)
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -345,7 +345,7 @@ def similar_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
     schema = ", ".join(["node binary, least binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)])
     signed = cut(docs.select(F.col("text").cast("string"), *columns).mapInArrow(run, schema))
-    each = cut(signed.groupBy("node").agg(F.min("least").alias("least")))
-    joined = components(similar_links(each), "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
-    named = each.select("node").join(joined, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
-    return signed.drop("least").join(named, "node").select(*columns, "component")
+    each = cut(signed.groupBy("node").agg(F.min("least").alias("least"), F.count("*").alias("rows")))
+    joined = components(similar_links(each.select("node", "least")), "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
+    named = each.select("node", "rows").join(joined, F.col("node") == F.col("_node"), "left").select("node", "rows", F.coalesce("component", "node").alias("component"))
+    return join_counted(signed.drop("least"), cut(named), "node", "rows", signed.count()).select(*columns, "component")
