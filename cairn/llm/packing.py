@@ -19,6 +19,7 @@ repeated rows are packed each; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,16 +28,16 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, split_words, spread, starts_of, text_bytes
+from .common import cut, prepare, salted_rank, split_words, spread, starts_of, text_bytes
 
 CAPACITY = 2048
 #: Lengths from CAPACITY / SMALL up are large.
 SMALL = 3
 GROUPS = 64
-SALTS = 64
+#: Parts that the pieces of a length are ranked in: at least, and pieces of a part where there are more.
+SALTS, SALT_ROWS = 64, 50_000
 #: Units whose ids a worker keeps; beyond it the store starts anew.
 STORE = 400_000
 
@@ -421,23 +422,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     cutted = cut(pieces(docs, tokenizer, capacity))
-    salted = cutted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # capacity x SALTS rows at most.
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():
-        counts[r["length"], r["salt"]] = r["n"]
-    keys, sequence, offset = plan_runs(make_plan({k: int(n) for k, n in enumerate(counts.sum(1)) if n}, capacity), capacity)
-    shared = spark.sparkContext.broadcast((np.cumsum(counts, axis=1) - counts, keys, sequence, offset))
+    found = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    shared = spark.sparkContext.broadcast(plan_runs(make_plan({k: int(n) for k, n in found.items()}, capacity), capacity))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, first, seq, off = shared.value
+        first, seq, off = shared.value
         for b in batches:
-            length, salt, inside = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-            rank = base[length, salt] + inside
+            length, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5))
             at = np.searchsorted(first, (length << 44) + rank, side="right") - 1
             ids = seq[at] + rank - (first[at] & ((1 << 44) - 1)) if len(at) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids), pa.array(off[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    inside = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("inside", inside).select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "inside")
+    # Equal lengths are ranked by parts of their hashes, more of them where there are more pieces. The written pieces keep
+    # their places, so rows that agree in everything are told apart by these.
+    salts = max(SALTS, math.ceil(sum(found.values()) / SALT_ROWS))
+    salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())
+    ranked = salted_rank(cutted, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], salt, salts, "rank")
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
