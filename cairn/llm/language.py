@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 The counts come from every training row in one distributed pass; the log-probability matrix (buckets x languages) has a
-fixed number of rows, is broadcast, and batches are scored with sparse gathers in numpy.
+fixed number of rows, is broadcast, and batches are scored with sparse gathers in numpy. Priors are shares of training texts.
 
 Defined cases: a null text, and a text without any letter, get ``und`` with score 0. Texts are read whole. With no
 training rows every text is ``und``. Rows are scored one by one: ties go to the language that sorts first; repeated
@@ -25,6 +25,8 @@ ORDERS = (1, 2, 3)
 #: The score is the posterior as if the text had this many n-grams, so that long texts do not saturate it.
 EVIDENCE = 40.0
 CHUNK_CHARS = 1 << 20
+#: Languages that the broadcast matrix may have.
+LANGUAGES = 500
 _OTHER = re.compile(r"[\W\d_]+")
 _PRIME = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -67,8 +69,11 @@ def _pieces(texts: list[str]) -> Iterator[list[int]]:
         yield run
 
 
-def train(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log-probability matrix (BUCKETS, languages), from every row where ``keep`` holds."""
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang") -> Model:
+    """Languages in order, the log-probability matrix (BUCKETS, languages) and the log priors, from every row where ``keep`` holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -76,10 +81,11 @@ def train(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang")
             texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for own in set(langs):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == own and has_letter(t)]
-                sums = totals.setdefault(own, np.zeros(BUCKETS, np.int64))
+                sums = totals.setdefault(own, np.zeros(BUCKETS + 1, np.int64))
+                sums[BUCKETS] += len(mine)
                 for run in _pieces(mine):
                     for buckets, _ in _grams([mine[i] for i in run]):
-                        sums += np.bincount(buckets, minlength=BUCKETS)
+                        sums += np.bincount(buckets, minlength=BUCKETS + 1)
         for own, sums in totals.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([own] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"])
@@ -87,23 +93,27 @@ def train(docs: DataFrame, keep: Column, text: str = "text", lang: str = "lang")
     prepare(docs.sparkSession)
     rows = docs.where(keep & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # One row for each language and bucket at most: the number of languages bounds it.
+    # One row for each language and bucket at most; more languages than LANGUAGES are an error, not a cut.
+    langs = sorted(r["l"] for r in rows.select("l").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     found = counted.toPandas()
-    langs = sorted(found["lang"].unique())
-    logs = np.zeros((BUCKETS, len(langs)), np.float32)
+    langs = [x for x in langs if (found["lang"] == x).any()]
+    logs, texts = np.zeros((BUCKETS, len(langs)), np.float32), np.ones(len(langs))
     for k, own in enumerate(langs):
         mine = found[found["lang"] == own]
-        n = np.full(BUCKETS, 0.5)
+        n = np.full(BUCKETS + 1, 0.5)
         n[mine["bucket"].to_numpy()] += mine["n"].to_numpy()
-        logs[:, k] = np.log(n / n.sum())
-    return langs, logs
+        texts[k] = n[BUCKETS]
+        logs[:, k] = np.log(n[:BUCKETS] / n[:BUCKETS].sum())
+    return langs, logs, np.log(texts / texts.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with lang_pred and score."""
     spark = docs.sparkSession
     prepare(spark)
-    langs, logs = model
+    langs, logs, prior = model
     shared = spark.sparkContext.broadcast(logs)
     out = docs.select(*columns, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]) + ", lang_pred string, score double"
@@ -121,10 +131,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[
                     grams += n
                     for k in range(len(langs)):
                         total[:, k] += group_sums(matrix[:, k][buckets], n)
-                best[at] = total.argmax(1)
-                scaled = total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
+                best[at] = (total + prior).argmax(1)
+                scaled = prior + total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
                 odds = np.exp(scaled - scaled.max(1, keepdims=True))
-                sure[at] = odds.max(1) / odds.sum(1)
+                sure[at] = odds[np.arange(len(at)), best[at]] / odds.sum(1)
             names = pa.array([langs[k] if k >= 0 else "und" for k in best], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], names, pa.array(sure)], [*b.schema.names[:-1], "lang_pred", "score"])
 
