@@ -32,6 +32,8 @@ RULES = {
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+\b",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
     "assignment": r"""(?:(?i)token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|credential)[\w-]{0,30}["']?\s{0,4}(?::=|=>|[:=])\s{0,4}["'][^"'\s]{6,}+["']""",
+    "bare_assignment": r"""(?:(?i)token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|credential)[\w-]{0,30}\s{0,4}(?::=|=>|[:=])\s{0,4}(?=[^\s"',;]*[0-9])(?=[^\s"',;]*[A-Za-z])[^\s"',;]{8,}+""",
+    "url_password": r"://[^\s:/@]{1,100}:[^\s:/@]{3,}+@",
     "opaque": r"\b[0-9A-Za-z_-]{32,}\b",
 }
 PATTERN = "|".join(f"(?:{p})" for p in RULES.values())
@@ -47,7 +49,7 @@ DICTIONARY = (
 TRUSTED = r"(?i)\b(?:key|secret|token|password|passwd|pwd|auth|authorization|bearer|credential|credentials|login|api)"
 DOUBTFUL = r"(?i)\b(?:example|sample|dummy|placeholder|fake|mock|test|sha|sha1|sha256|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|fingerprint|integrity|id)"
 DOUBTFUL_PATH = r"(?i)(?:test|example|sample|mock|fixture|doc|spec|demo|tutorial|vendor|lock)"
-FEATURES = ["length", "transitions", "digits", "letters", "distinct", "entropy", "coverage", "longest_run", "sequence", "path", "trusted", "doubtful", "rule_index"]
+FEATURES = ["length", "to_digit", "from_digit", "case", "signs", "consonants", "digits", "letters", "distinct", "entropy", "coverage", "longest_run", "sequence", "path", "trusted", "doubtful", "rule_index"]
 NEIGHBOUR_CHARS = 40
 TREES, DEPTH, SEED = 24, 7, 11
 #: Labelled findings made by rule where none are given.
@@ -71,27 +73,30 @@ def candidates(docs: DataFrame, columns: list[str], path: str | None = "source")
         F.length("_match").cast("long").alias("length"), F.right(before, F.lit(NEIGHBOUR_CHARS)).alias("_before"), F.left(after, F.lit(NEIGHBOUR_CHARS)).alias("_after"),
     )
     rule = F.coalesce(*[F.when(F.col("_match").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in RULES.items()], F.lit("opaque"))
-    value = F.regexp_extract("_match", r"""["']([^"'\s]{6,}+)["']$""", 1)
-    return each.withColumn("rule", rule).withColumn("_body", F.when(F.col("rule") == "assignment", value).otherwise(F.col("_match")))
+    values = {"assignment": r"""["']([^"'\s]{6,}+)["']$""", "bare_assignment": r"(?::=|=>|[:=])\s*([^\s]+)$", "url_password": r":([^\s:/@]+)@$"}
+    body = F.coalesce(*[F.when(F.col("rule") == k, F.regexp_extract("_match", p, 1)) for k, p in values.items()], F.col("_match"))
+    return each.withColumn("rule", rule).withColumn("_body", body)
 
 
 def with_features(found: DataFrame) -> DataFrame:
     body = F.col("_body")
     n = F.greatest(F.length(body), F.lit(1)).cast("double")
-    turns = F.regexp_count(body, F.lit(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^0-9A-Za-z])[0-9A-Za-z]"))
+    # Transitions by kind, and letters that stand four or more consonants in a row.
+    turns = [F.regexp_count(body, F.lit(p)) / n for p in (r"(?<=[A-Za-z])[0-9]", r"(?<=[0-9])[A-Za-z]", r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]", r"(?<=[0-9A-Za-z])[^0-9A-Za-z]|(?<=[^0-9A-Za-z])[0-9A-Za-z]")]
+    hard = F.length(body) - F.length(F.regexp_replace(body, r"(?i)[bcdfghjklmnpqrstvwxz]{4,}", ""))
     chars = F.split(body, "")
     kinds = F.array_distinct(chars)
     share = lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))) / n
     entropy = F.aggregate(F.filter(kinds, lambda c: c != ""), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
     known = "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
     covered = F.length(body) - F.length(F.regexp_replace(F.lower(body), known, ""))
-    near = F.concat_ws(" ", F.when(F.col("rule") == "assignment", F.regexp_extract("_match", r"^[\w-]+", 0)), F.col("_before"))
+    near = F.concat_ws(" ", F.when(F.col("rule").isin("assignment", "bare_assignment"), F.regexp_extract("_match", r"^[\w-]+", 0)), F.col("_before"))
     runs = F.regexp_extract_all(body, F.lit(r"((.)\2*)"), F.lit(1))
     longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
     rising = F.regexp_count(F.lower(body), F.lit("0123|1234|2345|3456|4567|5678|6789|abcd|bcde|cdef|defg|efgh|qwer|asdf|xxxx|0000"))
     index = reduce(lambda acc, kv: acc.when(F.col("rule") == kv[1], kv[0]), enumerate(RULES), F.when(F.lit(False), -1)).otherwise(-1)
     values = [
-        n, turns / n, F.regexp_count(body, F.lit("[0-9]")) / n, F.regexp_count(body, F.lit("[A-Za-z]")) / n, F.size(kinds) / n, entropy, covered / n, longest / n, rising,
+        n, *turns, hard / n, F.regexp_count(body, F.lit("[0-9]")) / n, F.regexp_count(body, F.lit("[A-Za-z]")) / n, F.size(kinds) / n, entropy, covered / n, longest / n, rising,
         F.coalesce(F.col("_path").rlike(DOUBTFUL_PATH), F.lit(False)).cast("double"), near.rlike(TRUSTED).cast("double"),
         (F.right(F.coalesce(F.col("_before"), F.lit("")), F.lit(24)).rlike(DOUBTFUL) | F.coalesce(F.col("_after"), F.lit("")).rlike(r"(?i)^.{0,8}\b(?:example|sample|dummy|placeholder|fake)")).cast("double"), index,
     ]
@@ -109,20 +114,23 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     label_of = F.element_at(F.array(*map(F.lit, ["commit", "sha1", "checksum", "sha256:", "md5", "revision", "uuid", "etag", "digest"])), (F.pmod(F.xxhash64(F.lit("l"), "id"), F.lit(9)) + 1).cast("int"))
     quoted = lambda v, sign=" = ": F.concat(prose, F.lit(" "), name, F.lit(sign + '"'), v, F.lit('" '), word("q"))
     shown = lambda v: F.concat(prose, F.lit(" "), v, F.lit(" "), word("q"))
+    bare = lambda v, sign="=": F.concat(prose, F.lit(" "), name, F.lit(sign), v, F.lit(" "), word("q"))
     secrets = [
         quoted(F.left(digest("a"), F.lit(40))), quoted(F.upper(F.left(digest("b"), F.lit(40)))), quoted(mixed("c", 24), ": "), quoted(mixed("d", 14)), quoted(F.left(digest("e"), F.lit(32)), ":"),
         shown(F.concat(F.lit("AKIA"), F.upper(mixed("f", 16)))), shown(F.concat(F.lit("ghp_"), mixed("g", 36))), shown(F.concat(F.lit("sk_live_"), mixed("h", 24))),
         shown(F.concat(F.lit("AIza"), mixed("i", 35))), shown(F.concat(F.lit("xoxb-"), mixed("j", 30))), shown(F.concat(F.lit("bearer "), mixed("k", 40))), shown(F.concat(F.lit("eyJ"), mixed("l", 20), F.lit("."), mixed("m", 40), F.lit("."), mixed("o", 40))),
+        bare(mixed("u", 20)), bare(F.left(digest("v"), F.lit(24)), ": "), shown(F.concat(F.lit("https://user:"), mixed("w", 12), F.lit("@host"))),
     ]
     others = [
         quoted(words("_")), quoted(words("-"), ": "), quoted(F.concat(F.lit("your_"), word("w1"), F.lit("_here"))), quoted(F.lit("xxxxxxxxxxxxxxxxxxxx")), quoted(F.lit("0123456789abcdef0123456789abcdef")),
         quoted(F.lit("changeme123")), quoted(F.concat(F.lit("${"), F.upper(words("_")), F.lit("}"))), shown(F.concat(label_of, F.lit(" "), F.left(digest("r"), F.lit(40)))),
         shown(F.concat(label_of, F.lit(" "), digest("s"))), shown(words("_")), shown(F.concat(words("-"), F.lit("-"), words("-"))), shown(F.concat(F.lit("example AKIA"), F.upper(mixed("t", 9)), F.lit("EXAMPLE"))),
+        bare(F.concat(words("_"), F.lit("1"))), bare(F.concat(F.lit("your-"), word("w1"), F.lit("-2")), ": "), shown(F.concat(F.lit("https://user:"), word("w1"), F.lit("@host"))),
     ]
-    pick = F.pmod(F.col("id"), F.lit(24)).cast("int")
+    pick = F.pmod(F.col("id"), F.lit(30)).cast("int")
     text = reduce(lambda acc, kv: acc.when(pick == kv[0], kv[1]), enumerate([*secrets, *others]), F.when(F.lit(False), F.lit("")))
-    where = F.when(F.pmod(F.xxhash64(F.lit("at"), "id"), F.lit(10)) < F.when(pick < 12, 1).otherwise(4), F.lit("tests/example.py")).when(F.pmod(F.col("id"), F.lit(2)) == 0, F.lit("src/main.py")).otherwise(F.concat(F.lit("src"), F.pmod(F.col("id"), F.lit(20)).cast("string")))
-    return cut(spark.range(n).select("id", text.alias("text"), where.alias("source"), (pick < 12).cast("double").alias("label")))
+    where = F.when(F.pmod(F.xxhash64(F.lit("at"), "id"), F.lit(10)) < F.when(pick < 15, 1).otherwise(4), F.lit("tests/example.py")).when(F.pmod(F.col("id"), F.lit(2)) == 0, F.lit("src/main.py")).otherwise(F.concat(F.lit("src"), F.pmod(F.col("id"), F.lit(20)).cast("string")))
+    return cut(spark.range(n).select("id", text.alias("text"), where.alias("source"), (pick < 15).cast("double").alias("label")))
 
 
 def _vectors(df: DataFrame) -> DataFrame:

@@ -217,6 +217,58 @@ def test_language_learns_and_rejects(docs, none):
     assert language.identify(none).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Multinomial naive Bayes written out gram by gram."""
+    rng = np.random.default_rng(7)
+    sound = {"aa": ["ba", "lo", "mi", "ra"], "bb": ["kru", "ost", "ich", "ba"], "cc": ["eau", "lle", "ra", "mi"]}
+    word = lambda k: "".join(rng.choice(sound[k], rng.integers(1, 3)))
+    data = [(i, " ".join(word(k) for _ in range(int(rng.integers(2, 12)))), k) for i in range(120) for k in [["aa", "bb", "cc", "aa"][i % 4]]]
+    data += [(200, "Ba lo 12!", "aa"), (201, "ß", "bb")]
+
+    def grams(text):
+        clean = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        for n in (1, 2, 3):
+            for i in range(len(clean) - n + 1):
+                h = n
+                for j in range(n):
+                    h = ((h ^ ord(clean[i + j])) * [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][j]) & (1 << 64) - 1
+                    h ^= h >> 29
+                yield (h >> 17) % language.BUCKETS
+
+    held = lambda i: i % 3 == 1
+    counts, texts = {k: Counter() for k in sound}, Counter()
+    for i, t, k in data:
+        if not held(i):
+            counts[k].update(grams(t))
+            texts[k] += 1
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("n", F.lit(1)), F.col("doc_id") % 3 == 1).collect()}
+    total = {k: sum(c.values()) + 0.5 * language.BUCKETS for k, c in counts.items()}
+    for i, t, _ in data:
+        score = {k: math.log((texts[k] + 0.5) / sum(n + 0.5 for n in texts.values())) + sum(math.log((counts[k][g] + 0.5) / total[k]) for g in grams(t)) for k in sound}
+        assert got[i]["lang_pred"] == max(sorted(score), key=score.get) and 0 < got[i]["score"] <= 1
+
+
+def test_secrets_forest_rejects_on_rows_it_has_not_seen(spark):
+    every = secrets.labelled_findings(spark, 3000)
+    model = secrets.train(every.where("pmod(xxhash64(id), 10) < 6"))
+    rest = every.where("pmod(xxhash64(id), 10) >= 6").withColumn("doc_id", F.col("id"))
+    found = {r["doc_id"]: r["confirmed"] for r in secrets.findings(rest, model=model).where("finding = 0").collect()}
+    label = {r["id"]: r["label"] == 1 for r in rest.select("id", "label").collect()}
+    assert set(found) <= set(label) and sum(label[i] for i in found) > 0.98 * sum(label.values())
+    caught, wrong = np.mean([c for i, c in found.items() if label[i]]), np.mean([c for i, c in found.items() if not label[i]])
+    assert caught > 0.95 and wrong < 0.05 and sum(not label[i] for i in found) > 300
+
+
+def test_secrets_candidates_against_a_scan_by_hand(spark):
+    """Runs of opaque characters, known prefixes and assignments, found by walking over the words."""
+    key = hashlib.sha1(b"y").hexdigest()
+    words = [f"token = '{key}'", "AKIA" + "Q7" * 8, key, "ghp_" + "a1B2" * 9, "password: hunter22x", "pwd=abcdefgh", "api_key => Zx81Zx81Zx", "https://me:s3cret@host/x", "plain", "under_score_name", "A" * 31, "B" * 32]
+    found = [True, True, True, True, True, False, True, True, False, False, False, True]
+    d = spark.createDataFrame([(i, f"left {w} right") for i, w in enumerate(words)], "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {r["doc_id"] for r in secrets.candidates(d, ["doc_id"]).collect()}
+    assert got == {i for i, f in enumerate(found) if f}
+
+
 def test_secrets(spark, none):
     secret = hashlib.sha1(b"x").hexdigest()
     d = [(1, f'some words token = "{secret}" end', "s"), (2, "commit " + secret, "s"), (3, 'password = "your_password_here"', "docs"), (4, None, None), (5, "", "s"), (6, f'a token = "{secret}" b', "s"), (6, f'a token = "{secret}" b', "s")]

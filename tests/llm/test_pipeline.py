@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from cairn.llm import packing, simhash
 
@@ -39,3 +40,42 @@ def test_near_duplicates_without_or_with_repeated_ids(spark):
     assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
     mixed = p.mix_sources(spark, docs, "").select("doc_id", "text").collect()
     assert {tuple(r) for r in mixed} <= set(rows) and mixed
+
+
+CLASHING = ("_key", "_sure", "_gaps", "_hash", "_id", "_none", "_one", "_copies", "node", "key", "size", "score", "rate", "part", "c0", "clean", "rule", "source_size", "salt", "piece")
+
+
+def test_every_stage_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names; what each stage does to them."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (None, None, "en", "a"), (None, text + " now", None, "b"), (3, "", "en", None), (4, "word " * 40_000, "en", "b"), (5, "12 34 !!", "de", "b"), (6, "ein ganz anderer text über flüsse und hügel im norden", "de", None)]
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in CLASHING})
+    out = {name: stage(spark, docs, "") for name, stage in p.STAGES}
+    got = {name: df.collect() for name, df in out.items()}
+    for name, _ in p.STAGES[:-1]:
+        assert tuple(out[name].columns) == p.COLUMNS and {(r["doc_id"], r["text"]) for r in got[name]} <= {r[:2] for r in rows}
+    assert Counter(r["doc_id"] for r in got["language"]) == Counter({1: 2, None: 1, 4: 1, 6: 1})
+    kept = {(r["doc_id"], r["text"]) for r in got["near_duplicates"]}
+    assert len(got["near_duplicates"]) == len(kept) == 5 and {1, 4, 5, 6} <= {i for i, _ in kept} and sum(not t or not re.search(r"\w", t) for _, t in kept) == 1
+    assert sorted(map(tuple, got["secrets"]), key=str) == sorted([(*r, len(r[1]) if r[1] is not None else None) for r in rows], key=str)
+    copies = Counter((r["doc_id"], r["text"]) for r in got["mixture"])
+    assert all(n <= 2 * sum(x[:2] == k for x in rows) for k, n in copies.items())
+    pieces = Counter(r["doc_id"] for r in got["packing"])
+    assert pieces[1] == 2 and pieces[2] == pieces[3] == 1 and pieces[None] == 2 and pieces[4] == -(-40_001 // 2048)
+    for name, stage in p.STAGES:
+        none = stage(spark, docs.limit(0), "")
+        assert none.columns == out[name].columns and none.count() == 0
+
+
+def test_near_copies_go(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i * 7919 % 5003}" for i in range(300)]
+    near = [*words[:150], "other", *words[151:]]
+    half = [*words[:150], *[f"v{i}" for i in range(150)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([near, words, half, words])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in p.drop_near_duplicates(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
