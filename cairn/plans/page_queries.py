@@ -148,7 +148,8 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(k % 10 == 4, say("<B><BIG>", heading, "</BIG></B><BR>")).otherwise(say("<BIG><B>", heading, "</B></BIG><BR>"))
     place = F.when(k % 7 == 2, say("VN", four(k))).when(k % 7 == 5, F.lit("30T ?? ??")).otherwise(say("30T ", 450000 + k, " ", 4790000 + 7 * k, " (Datum: ETRS89. Accuracy code: <B>G</B>) <B>Altitude</B> ", k % 900, "m"))
     length = F.when(k % 6 == 0, say(k, "m")).when(k % 6 == 1, say("c", k, "m")).when(k % 6 == 2, say(k, " & 5m")).when(k % 6 == 3, say("from ", k + 50, "m down to ", k, "m")).when(k % 6 == 4, say("included in the length of ", four(k + 1))).otherwise(F.lit("?m"))
-    header = say("<SMALL><B>", F.col("n_name"), "</B> ", place, " <B>Length</B> ", length, " <B>Depth</B> ", k % 90, '.5m+ <a href="x.htm">Area position</a> : <a href="y.htm">Logbook search</a></small>\n')
+    system = F.when(k % 8 == 1, say(" <B>Vertical Range</B> part of the Sistema de ", _pick(LAST, k))).otherwise("")
+    header = say("<SMALL><B>", F.col("n_name"), "</B> ", place, " <B>Length</B> ", length, " <B>Depth</B> ", k % 90, ".5m+", system, ' <a href="x.htm">Area position</a> : <a href="y.htm">Logbook search</a></small>\n')
     updated = say("<P><I>Updated ", F.array_join(F.transform("days", _day), "; "), "</I><BR>\n")
     people = say(_pick(FIRST, k), " ", _pick(LAST, k), " and ", _pick(FIRST, k + 2), " ", _pick(LAST, k + 3))
     when = say("Easter ", 1980 + k % 40, ", again on ", k % 28 + 1, "/", k % 12 + 1, "/", F.lpad((k % 100).cast("string"), 2, "0"), " and in May 2004.")
@@ -220,7 +221,8 @@ def page_places(spark, sf):
 @query(f"""WITH {_S} SELECT k AS site_number, 'length' AS label, {_LENGTH} AS raw, ['numeric', 'numeric', 'compound', 'range', 'prose', 'unknown'][k % 6 + 1] AS kind,
 CASE k % 6 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN k + 5 WHEN 3 THEN 50 END::DOUBLE AS value_m, CASE WHEN k % 6 = 3 THEN k END::DOUBLE AS min_m, ['exact', 'circa', 'exact', 'exact', 'exact', 'uncertain'][k % 6 + 1] AS modifier,
 CASE WHEN k % 6 = 4 THEN 'included_in' END AS relation, CASE WHEN k % 6 = 4 THEN four1 END AS target FROM s WHERE NOT bare
-UNION ALL SELECT k, 'depth', (k % 90) || '.5m+', 'numeric', k % 90 + 0.5, NULL, 'at_least', NULL, NULL FROM s WHERE NOT bare""")
+UNION ALL SELECT k, 'depth', (k % 90) || '.5m+', 'numeric', k % 90 + 0.5, NULL, 'at_least', NULL, NULL FROM s WHERE NOT bare
+UNION ALL SELECT k, 'vertical_range', 'part of the Sistema de ' || l[k % 7 + 1], 'prose', NULL, NULL, 'exact', 'part_of_system', NULL FROM s WHERE NOT bare AND k % 8 = 1""")
 def page_quantities(spark, sf):
     q = model.quantity(silver(spark, sf))
     return q.select("site_number", "label", "raw", "kind", "value_m", "min_m", "modifier", "relation", F.lpad(F.get("target_sites", F.lit(0)).cast("string"), 4, "0").alias("target"))
@@ -309,22 +311,23 @@ def page_fields(spark, sf):
 
 
 @query(f"""WITH {_S}, a AS (SELECT k, unnest(list_filter([CASE WHEN k % 10 = 4 THEN 'title_tag_order_swapped' END, CASE WHEN k % 10 = 3 THEN 'title_space_separator' END, CASE WHEN bare THEN 'no_header_small' END, CASE WHEN bare THEN 'footer_boundary_not_found' END,
-CASE WHEN NOT bare AND k % 7 = 2 THEN 'coord_legacy_vn' END, CASE WHEN NOT bare AND k % 7 = 5 THEN 'coord_placeholder' END, CASE WHEN NOT bare AND k % 6 = 4 THEN 'measure_prose' END, CASE WHEN NOT bare THEN 'footer_label_unknown' END], lambda x: x IS NOT NULL)) AS code FROM s)
+CASE WHEN NOT bare AND k % 7 = 2 THEN 'coord_legacy_vn' END, CASE WHEN NOT bare AND k % 7 = 5 THEN 'coord_placeholder' END, CASE WHEN NOT bare AND k % 6 = 4 THEN 'measure_prose' END, CASE WHEN NOT bare AND k % 8 = 1 THEN 'measure_prose' END, CASE WHEN NOT bare THEN 'footer_label_unknown' END], lambda x: x IS NOT NULL)) AS code FROM s)
 SELECT k AS site_number, code, count(*) AS times FROM a GROUP BY ALL""")
 def page_anomalies(spark, sf):
     return quality.anomaly(silver(spark, sf)).groupBy("site_number", "code").agg(F.count("*").alias("times"))
 
 
-@query(f"""WITH {_S} SELECT k AS site_number, 'unrecognised footer label ''' || n_name || ' extra''' AS detail FROM s WHERE NOT bare AND k % 2 >= 0
-UNION ALL SELECT k, 'length is prose: ''included in the length of ' || four1 || '''' FROM s WHERE NOT bare AND k % 6 = 4""")
+@query(f"""WITH {_S} SELECT k AS site_number, 'unrecognised footer label ''' || n_name || ' extra''' AS detail FROM s WHERE NOT bare
+UNION ALL SELECT k, 'length is prose: ''included in the length of ' || four1 || '''' FROM s WHERE NOT bare AND k % 6 = 4
+UNION ALL SELECT k, 'vertical_range is prose: ''part of the Sistema de ' || l[k % 7 + 1] || '''' FROM s WHERE NOT bare AND k % 8 = 1""")
 def page_details(spark, sf):
     return quality.anomaly(silver(spark, sf)).where("code IN ('footer_label_unknown', 'measure_prose')").select("site_number", "detail")
 
 
-@query(f"""WITH {_S} SELECT k AS site_number, CASE WHEN bare THEN 1.0 ELSE 0.97 END AS footer, CASE WHEN NOT bare THEN (CASE WHEN k % 6 = 5 THEN 0.95 ELSE 1.0 END) ELSE 1.0 END AS header, CASE WHEN bare THEN 'warn' ELSE 'warn' END AS max_severity FROM s""")
+@query(f"""WITH {_S} SELECT k AS site_number, CASE WHEN bare THEN 1.0 ELSE 0.97 END AS footer, CASE WHEN NOT bare THEN (CASE WHEN k % 6 = 5 THEN 0.95 ELSE 1.0 END) ELSE 1.0 END AS header, least(CASE WHEN bare THEN 1.0 ELSE 0.97 END, CASE WHEN NOT bare AND k % 6 = 5 THEN 0.95 ELSE 1.0 END) AS min_confidence, 'warn' AS max_severity FROM s""")
 def page_confidence(spark, sf):
     own = quality.parse_run(silver(spark, sf))
-    return own.select("site_number", F.col("confidence")["footer"].alias("footer"), F.col("confidence")["header"].alias("header"), "max_severity")
+    return own.select("site_number", F.col("confidence")["footer"].alias("footer"), F.col("confidence")["header"].alias("header"), "min_confidence", "max_severity")
 
 
 @query(f"""WITH {_S}, f AS (SELECT u.segment, k, CASE u.segment WHEN 'header' THEN NOT bare WHEN 'footer' THEN NOT bare WHEN 'updated' THEN k % 5 <> 0 ELSE true END AS found FROM s, (SELECT unnest(['title', 'header', 'updated', 'body', 'footer', 'modal']) AS segment) u)
@@ -336,7 +339,7 @@ def page_coverage(spark, sf):
 
 @query(f"""WITH {_S}, d AS (SELECT CAST(l_suppkey AS INTEGER) AS k, min(year(l_shipdate)) AS a, max(year(l_shipdate)) AS b FROM lineitem GROUP BY ALL),
 v AS (SELECT *, concat_ws(', ', CASE WHEN k % 6 IN (0, 1, 2, 3) THEN 'length ' || CASE k % 6 WHEN 2 THEN k + 5 WHEN 3 THEN 50 ELSE k END || 'm' END, 'depth ' || (k % 90) || '.5m', CASE WHEN k % 7 NOT IN (2, 5) THEN 'altitude ' || (k % 900) || 'm' END) AS said FROM s LEFT JOIN d USING (k))
-SELECT k AS site_number, 'Site ' || four || ' ' || s_name || ', Cueva del Also known as ' || n_name || '.' || CASE WHEN bare THEN '' ELSE ' Area: ' || n_name || '. ' || upper(said[1]) || said[2:] || '.' END
+SELECT k AS site_number, 'Site ' || four || ' ' || s_name || ', Cueva del Also known as ' || n_name || '.' || CASE WHEN bare THEN '' ELSE ' Area: ' || n_name || '. ' || upper(said[1]) || said[2:] || '.' || CASE WHEN k % 8 = 1 THEN ' Part of the Sistema de ' || l[k % 7 + 1] || '.' ELSE '' END END
 || CASE WHEN k % 5 = 0 THEN '' WHEN a = b THEN ' Recorded ' || a || '.' ELSE ' Recorded ' || a || ' to ' || b || '.' END AS text FROM v""")
 def page_cards(spark, sf):
     return model.chunk(silver(spark, sf)).where("kind = 'card'").select("site_number", "text")
@@ -350,7 +353,7 @@ def page_passages(spark, sf):
 
 @query(f"""WITH {_S}, {_WORKS}, n AS (SELECT count(*) AS all_, count(*) FILTER (NOT bare) AS full_, count(*) FILTER (bare) AS bare_ FROM s)
 SELECT label, CAST(value AS BIGINT) AS value FROM n, LATERAL (SELECT unnest(['sites', '  stubs', 'measurements', '  prose measurements', 'description blocks', 'sections', 'body tables', 'date mentions', '  mentions', 'cross-references', 'citations (distinct works)', '  uses', '  errors']) AS label,
-unnest([all_, bare_, 2 * full_, (SELECT count(*) FROM s WHERE NOT bare AND k % 6 = 4), 4 * all_, all_, (SELECT count(DISTINCT l_suppkey) FROM lineitem), 3 * all_, 2 * all_, (SELECT count(*) FROM s WHERE (k + 2) % 100 <> k) + (SELECT count(*) FROM s WHERE (k + 1) % 100 <> k), (SELECT count(DISTINCT citation_key) FROM w), 3 * full_, 0]) AS value) u""")
+unnest([all_, bare_, 2 * full_ + (SELECT count(*) FROM s WHERE NOT bare AND k % 8 = 1), (SELECT count(*) FROM s WHERE NOT bare AND k % 6 = 4) + (SELECT count(*) FROM s WHERE NOT bare AND k % 8 = 1), 4 * all_, all_, (SELECT count(DISTINCT l_suppkey) FROM lineitem), 3 * all_, 2 * all_, (SELECT count(*) FROM s WHERE (k + 2) % 100 <> k) + (SELECT count(*) FROM s WHERE (k + 1) % 100 <> k), (SELECT count(DISTINCT citation_key) FROM w), 3 * full_, 0]) AS value) u""")
 def page_stats(spark, sf):
     wanted = ["sites", "  stubs", "measurements", "  prose measurements", "description blocks", "sections", "body tables", "date mentions", "  mentions", "cross-references", "citations (distinct works)", "  uses", "  errors"]
     return library.stats(library.tables(silver(spark, sf))).where(F.col("label").isin(wanted)).select("label", "value")
@@ -415,3 +418,138 @@ SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w WHERE term IN (
 def term_postings(spark, sf):
     own = retrieval.postings(t(spark, sf, "documents"), "doc_id", "text").where(F.col("term").isin("the", "of", "stupid"))
     return own.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+_FINDS = """a AS (SELECT k, s_name || ', Cueva del' AS name, CASE WHEN bare THEN 1.0 WHEN k % 6 = 5 THEN 0.95 ELSE 0.97 END AS min_confidence, CASE WHEN bare THEN ['footer_boundary_not_found', 'no_header_small'] ELSE ['footer_label_unknown'] END AS codes FROM s)"""
+
+
+@query(f"""WITH {_S}, {_FINDS} SELECT k AS site_number, name, min_confidence, len(codes) AS hits, array_to_string(codes, ',') AS codes FROM a ORDER BY min_confidence, hits DESC, k LIMIT 50""")
+def page_review(spark, sf):
+    return quality.review(silver(spark, sf))
+
+
+@query(f"""WITH {_S} SELECT k AS site_number, 0.95 AS min_confidence, 'header' AS sections FROM s WHERE NOT bare AND k % 6 = 5""")
+def page_low_confidence(spark, sf):
+    own = quality.low_confidence(silver(spark, sf), 0.96)
+    return own.select("site_number", "min_confidence", F.array_join("sections", ",").alias("sections"))
+
+
+@query(f"""WITH {_S} SELECT 'pages' AS label, count(*) AS value FROM s UNION ALL SELECT 'stubs', count(*) FROM s WHERE bare UNION ALL SELECT 'low_confidence', count(*) FROM s WHERE NOT bare AND k % 6 = 5
+UNION ALL SELECT 'severity_warn', CAST(sum(CASE WHEN bare THEN 2 ELSE 1 END) AS BIGINT) FROM s UNION ALL SELECT 'code_coord_legacy_vn', count(*) FROM s WHERE NOT bare AND k % 7 = 2""")
+def page_audit(spark, sf):
+    own = quality.audit(silver(spark, sf), 0.96)
+    return own.where("label IN ('pages', 'stubs', 'low_confidence', 'severity_warn', 'code_coord_legacy_vn')").select("label", "value")
+
+
+@query(f"""WITH {_S} SELECT 'Sistema de ' || l[k % 7 + 1] AS name, count(*) AS members FROM s WHERE NOT bare AND k % 8 = 1 GROUP BY ALL""")
+def page_systems(spark, sf):
+    return model.cave_system(model.system_member(silver(spark, sf))).select("name", "members")
+
+
+@query(f"""WITH {_S}, w AS (SELECT k AS a, (k + 1) % 100 AS b FROM s UNION ALL SELECT k, (k + 2) % 100 FROM s) SELECT k AS site_number, s_name || ', Cueva del' AS name, CASE WHEN NOT bare THEN 'Land ' || n_name END AS area, CASE WHEN bare THEN 0 ELSE 3 END AS citations,
+(SELECT count(*) FROM w WHERE a = k AND b <> k) AS refs_out, (SELECT count(*) FROM w WHERE b = k AND a <> k) AS refs_in FROM s""")
+def page_summary(spark, sf):
+    own, vocabulary = silver(spark, sf), _vocabulary(spark, sf)
+    areas = model.area(vocabulary)
+    sites = model.site(own, model.area_variant(vocabulary, areas)).join(F.broadcast(areas.select("area_id", F.col("name").alias("area"))), "area_id", "left")  # a vocabulary
+    refs = model.cross_reference(own)
+    out = relational.left_count(sites.select("site_number", "name", "area"), model.citation_use(own).select(F.col("site_number").alias("c")), "site_number", "c", "citations")
+    out = relational.left_count(out, refs.select("from_site"), "site_number", "from_site", "refs_out")
+    return relational.left_count(out, refs.select("to_site"), "site_number", "to_site", "refs_in")
+
+
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations as areas, each under two spellings."""
+    n = t(spark, sf, "nation").select(F.concat(F.lit("Land "), "n_name").alias("name"), F.lower("n_name").alias("slug"))
+    return n.select(F.explode(F.array(F.col("slug"), F.lower("name"))).alias("folded"), "name", "slug")
+
+
+@query(f"""WITH {_S} SELECT k AS site_number, 'Land ' || n_name AS area, lower(n_name) AS slug FROM s WHERE NOT bare""")
+def page_areas(spark, sf):
+    vocabulary = _vocabulary(spark, sf)
+    areas = model.area(vocabulary)
+    sites = model.site(silver(spark, sf), model.area_variant(vocabulary, areas))
+    return sites.join(F.broadcast(areas.select("area_id", F.col("name").alias("area"), "slug")), "area_id").select("site_number", "area", "slug")
+
+
+@query(f"""WITH {_S} SELECT k AS site_number FROM s WHERE NOT bare AND lower(n_name) LIKE '%nation_1%'""")
+def page_area_slugs(spark, sf):
+    vocabulary = _vocabulary(spark, sf)
+    areas = model.area(vocabulary)
+    own = {"area": areas, "site": model.site(silver(spark, sf), model.area_variant(vocabulary, areas))}
+    return library.Filters(area="NATION_1").sites(own)
+
+
+@query("SELECT n_name AS area_raw FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 25 <> 24)")
+def page_unmapped_areas(spark, sf):
+    # A vocabulary without every fifth nation.
+    gone = t(spark, sf, "nation").where("n_nationkey % 5 = 0").select(F.lower("n_name").alias("slug"))
+    vocabulary = _vocabulary(spark, sf).join(F.broadcast(gone), "slug", "left_anti")
+    areas = model.area(vocabulary)
+    return model.unmapped_areas(model.site(silver(spark, sf), model.area_variant(vocabulary, areas)), ["?"])
+
+
+@query(f"""WITH {_S} SELECT k AS site_number FROM s WHERE NOT bare AND k % 90 + 0.5 >= 30""")
+def page_surveyed(spark, sf):
+    own = silver(spark, sf)
+    return library.Filters(has_survey=True, min_depth=30.0).sites({"site": model.site(own), "resource_link": model.resource_link(own)})
+
+
+@query(f"""WITH {_S}, p AS (SELECT unnest([['card', NULL], ['prose', NULL], ['prose', 'Hydrology'], ['table', NULL], ['editorial', NULL]]) AS x) SELECT k AS site_number, 'prose' AS kind, 'Hydrology' AS section_heading FROM s WHERE (k + 1) % 100 = 42
+UNION ALL SELECT k, x[1], x[2] FROM s, p WHERE k = 42""")
+def page_search(spark, sf):
+    # Every passage that names site 0042: its own, by their first line, and that of the page which mentions it.
+    own = {"chunk": model.chunk(silver(spark, sf))}
+    found = library.search_passages(own, "0042", limit=100).where(F.col("snippet").contains("«0042»"))
+    return found.select("chunk_id", "site_number", "kind").join(own["chunk"].select("chunk_id", "section_heading"), "chunk_id").select("site_number", "kind", "section_heading")
+
+
+@query(f"""WITH {_S} SELECT k AS site_number, s_name || ', Cueva del' AS name, CASE WHEN k = 42 THEN 5 ELSE 1 END AS n FROM s WHERE k = 42 OR (k + 1) % 100 = 42""")
+def page_search_sites(spark, sf):
+    own = silver(spark, sf)
+    return library.search_sites({"chunk": model.chunk(own), "site": model.site(own), "site_alias": model.site_alias(own)}, "0042").select("site_number", "name", "n")
+
+
+@query("SELECT 'own' AS kind, 2 AS queries, 1.0 AS recall UNION ALL SELECT 'wrong', 1, 0.0")
+def page_evaluate(spark, sf):
+    own = silver(spark, sf)
+    asked = spark.createDataFrame([("site 0042", [42], "own"), ("site 0017", [17, 16], "own"), ("site 0042", [-1], "wrong")], "query string, expect array<int>, kind string")
+    return library.evaluate({"chunk": model.chunk(own), "site": model.site(own)}, asked)
+
+
+@query(f"""WITH {_S} SELECT k AS site_number, CASE WHEN k = 7 THEN 'Corrected' ELSE s_name || ', Cueva del' END AS name, CASE k WHEN 7 THEN 'active' WHEN 8 THEN 'stale' WHEN 9 THEN 'superseded' END AS override_status FROM s""")
+def page_overrides(spark, sf):
+    pages = site_pages(spark, sf)
+    known = {r["site_number"]: r["content_sha256"] for r in pages.where("site_number IN (7, 9)").select("site_number", "content_sha256").collect()}  # two pages
+    fix = lambda digest, path, value: {"applies_to_sha256": digest, "fix": [{"field_path": path, "value": value}]}
+    fixes = {7: fix(known.get(7), "title.name", "Corrected"), 8: fix("another page", "title.name", "Corrected"), 9: fix(known.get(9), "title.site_number", 9)}
+    return parse_pages(pages, fixes).select("site_number", F.col("title.name").alias("name"), "override_status")
+
+
+@query(f"""WITH {_S}, a AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'new' WHEN k % 9 = 1 THEN 'changed' ELSE 'same' END AS change FROM s) SELECT k AS site_number, change FROM a WHERE change <> 'same'""")
+def page_changes(spark, sf):
+    now = site_pages(spark, sf).select("site_number", "content_sha256")
+    before = now.where("site_number % 9 <> 0").withColumn("content_sha256", F.when(F.col("site_number") % 9 == 1, F.lit("another")).otherwise(F.col("content_sha256")))
+    return relational.full_outer_diff(before, now, "site_number", "content_sha256")
+
+
+@query(f"""WITH {_S} SELECT k AS site_number, s_name || ', Cueva del' AS name, n_name AS aliases, s_name || ', Cueva del ' || lower('Cueva del ' || s_name) || ' ' || n_name AS names, NOT bare AS has_footer FROM s""")
+def page_site_text(spark, sf):
+    own = model.site_text(silver(spark, sf))
+    return own.select("site_number", "name", "aliases", "names", (F.col("footer_text") != "").alias("has_footer"))
+
+
+@query("""WITH o AS (SELECT sha256(text) AS h, min(doc_id) AS v FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT d.doc_id AS chunk_id, CAST(o.v AS DOUBLE) AS first FROM documents d JOIN o ON sha256(d.text) = o.h""")
+def carry_vectors(spark, sf):
+    # Vectors of an earlier build for every second text.
+    chunks = t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("content_sha256"))
+    old = chunks.where("chunk_id % 2 = 0")
+    vectors = old.select("chunk_id", F.array(F.col("chunk_id").cast("double")).alias("embedding"))
+    return model.carry_vectors(chunks, old, vectors).select("chunk_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query("""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text || ' &nosuch; &amp; &lt', '&[A-Za-z][A-Za-z0-9]*;?')) AS found FROM documents WHERE NOT contains(text, '&'))
+SELECT doc_id, string_agg(found, ' ' ORDER BY found) AS defects FROM e WHERE found <> '&amp;' GROUP BY doc_id""")
+def entity_defects(spark, sf):
+    own = t(spark, sf, "documents").where(~F.col("text").contains("&")).select("doc_id", F.concat("text", F.lit(" &nosuch; &amp; &lt")).alias("text"))
+    return each_text(own, "doc_id", "text", "defects string", lambda x: [(" ".join(sorted(texts.entity_defects(x))),)])

@@ -132,3 +132,16 @@ def test_knn_batch_against_all_pairs(spark):
 def test_registry_imports():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_digests_of_a_stream(spark, tmp_path):
+    from cairn.streaming.incremental import keep_digests
+
+    def step(rows):
+        spark.createDataFrame(rows, "k int, text string").write.mode("append").parquet(str(tmp_path / "in"))
+        keep_digests(spark.readStream.schema("k int, text string").parquet(str(tmp_path / "in")), "k", "text", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert step([(1, "a"), (2, "b")]) == 2
+    assert step([(1, "a"), (2, "c"), (3, None)]) == 3
+    assert step([(2, "b")]) == 4
