@@ -11,7 +11,8 @@ that it touches only, never to each partner, so a shard emits fewer links than m
 ``similar_documents`` is for texts whose shingle sets are alike (a Jaccard similarity of 0.8 or more of five-word shingles).
 They differ in about 15 % of a fingerprint's bits, beyond any exact dealing by blocks, and by too much chance in 64 of them:
 fingerprints have 256 bits here, and shards are bands of ``ROWS`` min-hashes, of which such texts share one with a
-probability of 0.99999. In a shard above ``SHARD`` members each part of it is a tree; of members within half the radius of
+probability of 0.99999. The links that trees find are held against the texts' shingle sets; a member has ``SPARE`` links
+more than join groups, for those that fail. In a shard above ``SHARD`` members each part of it is a tree; of members within half the radius of
 a leader only the leader goes on, and the leaders are dealt again with more min-hashes. So passages that many texts share,
 and large groups of near copies, end in small shards.
 
@@ -39,9 +40,11 @@ RADIUS = 2
 SHARD = 1024
 #: Shingles whose bits are counted at once.
 _BITS_AT_ONCE = 1 << 16
-#: Shingles of similar documents, bits of their fingerprints / 64, and what two may differ by: at a similarity of 0.8 they
-#: differ by 39 on average, and one in 10 by more than this.
-WORDS, LONGS, WIDE_RADIUS = 5, 4, 46
+#: Words of a shingle and least similarity of similar documents; bits of their fingerprints / 64, and what those of two may
+#: differ by: at this similarity 39 bits on average, and one pair in 50 by more than the radius.
+WORDS, SIMILARITY, LONGS, WIDE_RADIUS = 5, 0.8, 4, 50
+#: Links of a member to its nearest ones in a shard, besides those that join groups.
+SPARE = 16
 #: Bands of min-hashes, min-hashes of a band, and bands that a large shard's leaders are dealt by again, so often.
 BANDS, ROWS, AGAIN, DEPTH = 16, 3, 6, 4
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -248,9 +251,10 @@ def _band(least: np.ndarray, band: int, level: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def tree_links(members: list[int], radius: int, leaders: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that join the members of one shard; with ``leaders`` members within half the radius of one are no part of
-    the tree, and the others are returned."""
+def tree_links(members: list[int], radius: int, leaders: bool, spare: int = 0) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join the members of one shard, from each to the nearest of each group that it touches; ``spare`` more to
+    the nearest of all, where a link may be refuted later. With ``leaders`` members within half the radius of one are no
+    part of the tree, and the others are returned."""
     tree, root, out = BKTree(), {}, []
 
     def find(i: int) -> int:
@@ -260,14 +264,14 @@ def tree_links(members: list[int], radius: int, leaders: bool) -> tuple[list[tup
         return i
 
     for value in members:
-        near = tree.near(value, radius)
+        near = sorted(tree.near(value, radius))
         root[value] = value
-        for d, j in near:
+        for k, (_, j) in enumerate(near):
             a, b = find(value), find(j)
-            if a != b:
+            if a != b or k < spare:
                 root[max(a, b)] = min(a, b)
                 out.append((j, value))
-        if not (leaders and near and min(near)[0] <= radius // 2):
+        if not (leaders and near and near[0][0] <= radius // 2):
             tree.add(value)
     return out, tree.values
 
@@ -279,7 +283,7 @@ def _deal(large: bool):
         now, members = None, []
 
         def done() -> pa.RecordBatch:
-            found, leaders = tree_links(members, WIDE_RADIUS, large)
+            found, leaders = tree_links(members, WIDE_RADIUS, large, SPARE)
             raw = lambda values: pa.array([v.to_bytes(8 * LONGS, "little") for v in values], pa.binary())
             left, right = [a for a, _ in found] + (leaders if large else []), [b for _, b in found]
             return pa.RecordBatch.from_arrays([raw(left), pa.concat_arrays([raw(right), pa.nulls(len(left) - len(right), pa.binary())]), pa.array([now[0]] * len(left), pa.int64())], ["a", "b", "key"])
@@ -332,6 +336,26 @@ def similar_links(signed: DataFrame) -> DataFrame:
     return found
 
 
+def verified(links: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those ``links`` (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more. ``signed``: node, h, g of
+    every text; ``docs``: text, h, g. Only the texts of nodes with a link are read, one of each."""
+    asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    which = signed.join(asked, "node").groupBy("node").agg(F.min(F.struct("h", "g")).alias("k")).select("node", "k.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, n = shingle_hashes(b.column(1), WORDS)
+            edges = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(edges, pa.array(hashes.view(np.int64)))], ["node", "shingles"])
+
+    # Copies of a text are many, but a task sends one of them.
+    texts = docs.join(which, ["h", "g"]).groupBy("node").agg(F.min("text").alias("text"))
+    sets = cut(texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>"))
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``columns`` of each document and component (bytes): the least wide fingerprint reachable over links."""
     prepare(docs.sparkSession)
@@ -341,11 +365,18 @@ def similar_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
             prints, least = signatures(b.column(0))
             none = ~least.any(axis=1)
             raw = [b"" if x else row.tobytes() for x, row in zip(none, least, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(raw, pa.binary()), *b.columns[1:]], ["node", "least", *columns])
-
-    schema = ", ".join(["node binary, least binary", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)])
-    signed = cut(docs.select(F.col("text").cast("string"), *columns).mapInArrow(run, schema))
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(raw, pa.binary()), *b.columns[1:]], ["node", "least", *names])
+
+    # Which text: 128 bits of it. The names of ``columns`` are given back at the end.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = ["h", "g", *(f"c{i}" for i in range(len(columns)))]
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    schema = ", ".join(["node binary, least binary", *(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)])
+    signed = cut(keyed.mapInArrow(run, schema))
     each = cut(signed.groupBy("node").agg(F.min("least").alias("least"), F.count("*").alias("rows")))
-    joined = components(similar_links(each.select("node", "least")), "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
+    found = cut(similar_links(each.select("node", "least")).distinct())
+    links = verified(found, signed.select("node", "h", "g"), keyed.select("text", "h", "g"))
+    joined = components(links, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
     named = each.select("node", "rows").join(joined, F.col("node") == F.col("_node"), "left").select("node", "rows", F.coalesce("component", "node").alias("component"))
-    return join_counted(signed.drop("least"), cut(named), "node", "rows", signed.count()).select(*columns, "component")
+    out = join_counted(signed.drop("least", "h", "g"), cut(named), "node", "rows", signed.count())
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "component")
