@@ -214,6 +214,20 @@ def show(own: dict[str, DataFrame], number: int) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, own["site"].where(F.col("site_number") == number))
 
 
+#: Child, its column, parent and its key, for each reference between tables.
+REFERENCES = (
+    ("citation_use", "citation_key", "citation", "citation_key"), ("citation_author", "author_id", "author", "author_id"), ("citation_author", "citation_id", "citation", "citation_id"), ("person_mention", "name_raw", "person", "name_raw"),
+    ("system_member", "name", "cave_system", "name"), ("site_alias", "site_number", "site", "site_number"), ("chunk", "site_number", "site", "site_number"), ("area_variant", "area_id", "area", "area_id"),
+)
+
+
+def broken(own: dict[str, DataFrame]) -> DataFrame:
+    """reference, rows: children without a parent, for each reference whose tables are there."""
+    usable = [r for r in REFERENCES if r[0] in own and r[2] in own]
+    parts = [model.broken_keys(own[c], column, own[p], key).agg(F.count("*").alias("rows")).select(F.lit(f"{c}.{column}").alias("reference"), "rows") for c, column, p, key in usable]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def counts(own: dict[str, DataFrame]) -> DataFrame:
     """label, value: rows of every table, by name."""
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("value")).select(F.lit(name).alias("label"), "value") for name, df in sorted(own.items())])

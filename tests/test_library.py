@@ -9,9 +9,9 @@ from cairn.sources import pages
 
 PAGE = """<HTML><BODY><BIG><B>{n:04d}: {name}</B></BIG><BR><SMALL><B>Area</B> 30T {e} 4798123 (Datum: ETRS89. Accuracy code: <B>G</B>) <B>Altitude</B> 365m <B>Length</B> {length}m
 <a href="x">Area position</a> : <a href="y">Logbook search</a></small><P><I>Updated 1st March 2003</I><BR>
-The entrance was dug in Easter 1999 and surveyed by Guy Simonnot and Juan Corrin. See 1975 for the {word}.<P><B>Wet Inlet</B><P>A long {word} passage leads to <a href="0002.htm">the second site</a> and a final choke.
+The entrance was dug in Easter 1999 and surveyed by Anna Berg and Carl Dorn. See 1975 for the {word}.<P><B>Wet Inlet</B><P>A long {word} passage leads to <a href="0002.htm">the second site</a> and a final choke.
 <P><font color="#ff0000">This page needs work.</font><table><tr><td>Batch</td><td>Date</td></tr><tr><td>0001-01</td><td>May</td></tr></table>
-<P><SMALL><B>References</B>: Corrin J, 1983; <B>Entrance picture</B>: <a href="../entpics/0001.htm">yes</a></SMALL></BODY></HTML>"""
+<P><SMALL><B>References</B>: Dorn J, 1983; <B>Entrance picture</B>: <a href="../entpics/0001.htm">yes</a></SMALL></BODY></HTML>"""
 
 
 def page(n: int, **own) -> bytes:
@@ -25,8 +25,8 @@ def test_dates_claim_their_place_once():
 
 
 def test_people_need_evidence():
-    assert [p["name_raw"] for p in body.people("dug by Guy Simonnot and Juan Corrin. Red Pike explored it. Guy Simonnot dived.")] == ["Guy Simonnot", "Juan Corrin"]
-    assert body.people("found by Old Fresnedo group") == [] and body.people("Cueva Hoyuca is long") == []
+    assert [p["name_raw"] for p in body.people("dug by Anna Berg and Carl Dorn. Red Pike explored it. Anna Berg dived.")] == ["Anna Berg", "Carl Dorn"]
+    assert body.people("found by Old Mill group") == [] and body.people("Cueva Hoyuca is long") == []
 
 
 def test_outline_and_tables():
@@ -99,8 +99,8 @@ def test_search(built):
     assert [r["snippet"] for r in library.search_sites(own, "cav").collect()] == ["(name match)"] * 3
     assert library.search_sites(own, '"*():').where("score > 0").count() == 0
     assert [r["site_number"] for r in library.nearby_sites(own, 1, 100).collect()] == [2]
-    assert library.find_by_citation(own, "corrin", 1983).first()["site_count"] == 3
-    assert library.find_by_citation(own, "corrin", 1984).count() == 0
+    assert library.find_by_citation(own, "dorn", 1983).first()["site_count"] == 3
+    assert library.find_by_citation(own, "dorn", 1984).count() == 0
 
 
 def test_evaluation_and_vectors(spark, built):
@@ -120,7 +120,7 @@ def test_quality(spark, built, tmp_path):
     assert {tuple(sorted(r["confidence"].items())) for r in own["parse_run"].collect()} == {(("body", 1.0), ("footer", 1.0), ("header", 1.0), ("title", 1.0), ("updated", 1.0))}
     assert quality.review(silver).count() == 0 and quality.low_confidence(silver).count() == 0
     bad = """<B><BIG>0009 -</BIG></B><SMALL><B>Length</B> ++ <B>Length</B> see 0002 for it</SMALL></SMALL></SMALL>
-    <I>Updated someday, 1st May 2001</I> Text with <a href="0008.htm">itself</a> \ufffd Logbook search <B>References</B>: Corrin J, 1983 (by post); something odd; <B>Strange</B>: x"""
+    <I>Updated someday, 1st May 2001</I> Text with <a href="0008.htm">itself</a> \ufffd Logbook search <B>References</B>: Dorn J, 1983 (by post); something odd; <B>Strange</B>: x"""
     (tmp_path / "0008.htm").write_bytes(bad.encode())
     (tmp_path / "0009.htm").write_bytes(b" ")
     pages.parse_pages(pages.read_pages(spark, str(tmp_path))).write.parquet(str(tmp_path / "silver"))
@@ -169,6 +169,7 @@ def test_areas_stats_audit_show(spark, built, tmp_path):
     assert sorted(r["site_number"] for r in again.collect()) == [1, 2, 4]
     one = library.show(own, 1).first()
     assert (one["name"], len(one["quantity"]), one["cross_reference"][0]["to_site"]) == ("Cave 1", 1, 2)
+    assert {r["rows"] for r in library.broken(own).collect()} == {0} and library.broken(own | {"author": own["author"].limit(0)}).where("rows > 0").count() == 1
     assert 43.2 < one["latitude"] < 43.5 and -3.7 < one["longitude"] < -3.4
 
 
@@ -214,3 +215,29 @@ def test_commands(spark, built, tmp_path, capsys):
         main([name, *rest, "--out", out], spark)
     said = capsys.readouterr().out
     assert '"encoding": "utf-8"' in said and "Cave 7" in said and spark.read.json(f"{tmp_path}/json").count() == 1
+
+
+def test_pages_over_http(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    from cairn.sources import download
+
+    for n in (1, 2):
+        (tmp_path / f"{n:04d}.htm").write_bytes(page(n))
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}/{{:04d}}.htm"
+        got = download.fetch_pages(spark, url, 1, 3, spark.createDataFrame([(2,)], "site_number int")).collect()
+        assert sorted((r["site_number"], r["status"]) for r in got) == [(1, 200), (3, 404)]
+        assert {r["content_sha256"] for r in got if r["content"]} == {hashlib.sha256(page(1)).hexdigest()}
+        assert pages.parse_pages(download.fetch_pages(spark, url, 1, 1)).first()["title"]["name"] == "Cave 1"
+    finally:
+        server.shutdown()

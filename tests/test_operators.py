@@ -9,10 +9,10 @@ from cairn.plans import model
 from cairn.sources import pages
 
 PAGE = """<HTML><BODY><BIG><B>0001: Burro, Sima del (Bottom entrance) (Sistema de la Vega)</B></BIG><BR>
-<SMALL><B>Riaño</B> 30T 453898 4798123 (Datum: ETRS89. Accuracy code: <B>G</B>) <B>Altitude</B> 365m <B>Length</B> 94m <B>Depth</B> 50m
+<SMALL><B>Añover</B> 30T 453898 4798123 (Datum: ETRS89. Accuracy code: <B>G</B>) <B>Altitude</B> 365m <B>Length</B> 94m <B>Depth</B> 50m
 <a href="x">Area position</a> : <a href="y">Logbook search</a></small><P><I>Updated 1st March, 2nd April 2003</I><BR>
 A dry cave.<P>It goes on for a good distance past the second pitch and ends in a boulder choke.
-<SMALL><B>References</B>: Corrin J, 1983; material in file <B>Entrance picture</B>: <a href="../entpics/0001.htm">yes</a></SMALL></BODY></HTML>"""
+<SMALL><B>References</B>: Dorn J, 1983; material in file <B>Entrance picture</B>: <a href="../entpics/0001.htm">yes</a></SMALL></BODY></HTML>"""
 
 
 def test_bm25_filters_inside_and_counts_outside(spark):
@@ -60,10 +60,10 @@ def test_pages_to_tables(spark, tmp_path):
     silver = pages.parse_pages(pages.read_pages(spark, str(tmp_path))).cache()
     s = model.site(silver).first()
     assert (s["name"], s["name_sort"], s["length_m"], s["depth_m"], s["altitude_m"], s["easting"]) == ("Burro, Sima del", "sima del burro", 94.0, 50.0, 365.0, 453898)
-    assert (s["area_raw"], s["update_count"], str(s["updated_last"])) == ("Riaño", 2, "2003-04-02")
+    assert (s["area_raw"], s["update_count"], str(s["updated_last"])) == ("Añover", 2, "2003-04-02")
     assert {r["kind"] for r in model.site_alias(silver).collect()} == {"entrance_qualifier", "system_name"}
     works = model.citation(model.citation_use(silver))
-    assert {(r["citation_key"], r["site_count"]) for r in works.collect()} == {("corrin j|1983||", 1), ("raw:material in file", 1)}
+    assert {(r["citation_key"], r["site_count"]) for r in works.collect()} == {("dorn j|1983||", 1), ("raw:material in file", 1)}
     assert [r["bucket"] for r in model.resource_link(silver).collect()] == ["entrance_pics"] and round(s["latitude"], 3) == 43.335
     assert pages.presence(spark, str(tmp_path), 1, 2).where("present").count() == 1
     with pytest.raises(FileNotFoundError):
