@@ -11,8 +11,8 @@ that it touches only, never to each partner, so a shard emits fewer links than m
 ``similar_documents`` is for texts whose shingle sets are alike (a Jaccard similarity of 0.8 or more of five-word shingles).
 They differ in about 15 % of a fingerprint's bits, beyond any exact dealing by blocks, and by too much chance in 64 of them:
 fingerprints have 256 bits here, and shards are bands of ``ROWS`` min-hashes, of which such texts share one with a
-probability of 0.99999. The links that trees find are held against the texts' shingle sets; a member has ``SPARE`` links
-more than join groups, for those that fail. In a shard above ``SHARD`` members each part of it is a tree; of members within half the radius of
+probability of 0.99999. The links that trees find are held against the texts' shingle sets; in small shards a member has
+some links more than join groups, for those that fail, and elsewhere its nearest in each group. In a shard above ``SHARD`` members each part of it is a tree; of members within half the radius of
 a leader only the leader goes on, and the leaders are dealt again with more min-hashes. So passages that many texts share,
 and large groups of near copies, end in small shards.
 
@@ -43,8 +43,10 @@ _BITS_AT_ONCE = 1 << 16
 #: Words of a shingle and least similarity of similar documents; bits of their fingerprints / 64, and what those of two may
 #: differ by: at this similarity 39 bits on average, and one pair in 50 by more than the radius.
 WORDS, SIMILARITY, LONGS, WIDE_RADIUS = 5, 0.8, 4, 50
-#: Links of a member to its nearest ones in a shard, besides those that join groups.
-SPARE = 16
+#: Links of a member to its nearest ones, besides those that join groups, in shards of so many members.
+SPARE, FEW = 4, 16
+#: Parts of a text's hash by which texts are left out before they are joined; the parts that occur are broadcast.
+SLOTS = 1 << 20
 #: Bands of min-hashes, min-hashes of a band, and bands that a large shard's leaders are dealt by again, so often.
 BANDS, ROWS, AGAIN, DEPTH = 16, 3, 6, 4
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -283,7 +285,7 @@ def _deal(large: bool):
         now, members = None, []
 
         def done() -> pa.RecordBatch:
-            found, leaders = tree_links(members, WIDE_RADIUS, large, SPARE)
+            found, leaders = tree_links(members, WIDE_RADIUS, large, SPARE if len(members) <= FEW else 0)
             raw = lambda values: pa.array([v.to_bytes(8 * LONGS, "little") for v in values], pa.binary())
             left, right = [a for a, _ in found] + (leaders if large else []), [b for _, b in found]
             return pa.RecordBatch.from_arrays([raw(left), pa.concat_arrays([raw(right), pa.nulls(len(left) - len(right), pa.binary())]), pa.array([now[0]] * len(left), pa.int64())], ["a", "b", "key"])
@@ -348,8 +350,11 @@ def verified(links: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
             edges = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(edges, pa.array(hashes.view(np.int64)))], ["node", "shingles"])
 
+    which = cut(which)
+    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS))
+    some = docs.join(F.broadcast(which.select(slot("h").alias("_slot")).distinct()), slot("h") == F.col("_slot"), "left_semi")  # SLOTS rows at most
     # Copies of a text are many, but a task sends one of them.
-    texts = docs.join(which, ["h", "g"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = some.join(which, ["h", "g"]).groupBy("node").agg(F.min("text").alias("text"))
     sets = cut(texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>"))
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
