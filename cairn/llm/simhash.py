@@ -338,11 +338,11 @@ def similar_links(signed: DataFrame) -> DataFrame:
     return found
 
 
-def verified(links: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``links`` (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more. ``signed``: node, h, g of
-    every text; ``docs``: text, h, g. Only the texts of nodes with a link are read, one of each."""
+def verified(links: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those ``links`` (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more. ``each``: node, h, g of one
+    text of every node; ``docs``: text, h, g. Only the texts of nodes with a link are read."""
     asked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    which = signed.join(asked, "node").groupBy("node").agg(F.min(F.struct("h", "g")).alias("k")).select("node", "k.*")
+    which = each.join(asked, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,9 +378,9 @@ def similar_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     schema = ", ".join(["node binary, least binary", *(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)])
     signed = cut(keyed.mapInArrow(run, schema))
-    each = cut(signed.groupBy("node").agg(F.min("least").alias("least"), F.count("*").alias("rows")))
+    each = cut(signed.groupBy("node").agg(F.min("least").alias("least"), F.count("*").alias("rows"), F.min(F.struct("h", "g")).alias("k")))
     found = cut(similar_links(each.select("node", "least")).distinct())
-    links = verified(found, signed.select("node", "h", "g"), keyed.select("text", "h", "g"))
+    links = verified(found, each.select("node", "k.*"), keyed.select("text", "h", "g"))
     joined = components(links, "a", "b").select(F.col("node").alias("_node"), F.col("root").alias("component"))
     named = each.select("node", "rows").join(joined, F.col("node") == F.col("_node"), "left").select("node", "rows", F.coalesce("component", "node").alias("component"))
     out = join_counted(signed.drop("least", "h", "g"), cut(named), "node", "rows", signed.count())

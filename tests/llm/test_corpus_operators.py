@@ -497,3 +497,25 @@ def test_toxicity_of_repeated_ids_is_the_same_in_reruns(spark):
     d, y = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("terms", F.lit("x")), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     key = lambda df: sorted((r["doc_id"], r["score"]) for r in toxicity.classify(df, y).collect())
     assert key(d.repartition(2)) == key(d.repartition(5)) and d.count() == len(key(d))
+
+
+def test_joins_of_hot_keys_lose_nothing(spark, monkeypatch):
+    from cairn.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(k, i) for k, n in (("a", 50), ("b", 4), ("c", 3), ("d", 1)) for i in range(n)]
+    many, one = spark.createDataFrame(rows, "k string, i int"), spark.createDataFrame([("a", 50, "A"), ("b", 4, "B"), ("c", 3, "C"), ("d", 1, "D"), ("e", 0, "E")], "k string, n int, name string")
+    got = Counter(tuple(r) for r in common.join_counted(many, one, "k", "n", len(rows)).select("k", "i", "name").collect())
+    assert got == Counter((k, i, k.upper()) for k, i in rows)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(59, 200), (7, 7)]
+    roots = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    assert roots == {**{i: 0 for i in range(60)}, 200: 0, **{100 + i: 100 for i in range(21)}}
+    assert graph.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_packing_of_pieces_that_agree_in_everything(spark):
+    """Rows without an id and with the same text, and more of one length than any other: each has its own place."""
+    d = spark.createDataFrame([(None, "same text here")] * 300 + [(i, "word " * 5000) for i in range(3)], "doc_id long, text string").repartition(4)
+    got = packing.pack(d, TOKENIZER).collect()
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len(set(places)) == len(places) == 300 + 3 * -(-5001 // 2048)
