@@ -62,7 +62,7 @@ def _matches(text: Column) -> Column:
     low = F.lower(text)
     said = reduce(lambda a, b: a | b, [low.contains(w) for w in ("token", "secret", "passw", "pwd", "key", "credential")]) & (text.contains(":") | text.contains("="))
     known = [text.contains(w) for w in ("-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "k_test_", "eyJ", "://")]
-    return F.coalesce(reduce(lambda a, b: a | b, known, said) | text.rlike("[0-9A-Za-z_-]{32}"), F.lit(False)) & F.coalesce(text.rlike(PATTERN), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, known, said) | text.rlike("(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{32}"), F.lit(False)) & F.coalesce(text.rlike(PATTERN), F.lit(False))
 
 
 def candidates(docs: DataFrame, columns: list[str], path: str | None = "source") -> DataFrame:
