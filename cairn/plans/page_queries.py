@@ -166,8 +166,14 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("site_number", say(four(F.col("site_number")), ".htm").alias("path"), "content", F.octet_length("content").cast("long").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores: parsing costs far more than moving them, and partitions made by their size would be few."""
+    spark = pages.sparkSession
+    return pages.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "site_number")
+
+
 def silver(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_pages(site_pages(spark, sf))
+    return parse_pages(spread(site_pages(spark, sf)))
 
 
 _S = """s AS (SELECT CAST(s_suppkey AS INTEGER) AS k, s_name, n_name, s_suppkey % 25 = 24 AS bare, printf('%04d', s_suppkey) AS four, printf('%04d', s_suppkey + 1) AS four1,
@@ -523,7 +529,7 @@ def page_overrides(spark, sf):
     known = {r["site_number"]: r["content_sha256"] for r in pages.where("site_number IN (7, 9)").select("site_number", "content_sha256").collect()}  # two pages
     fix = lambda digest, path, value: {"applies_to_sha256": digest, "fix": [{"field_path": path, "value": value}]}
     fixes = {7: fix(known.get(7), "title.name", "Corrected"), 8: fix("another page", "title.name", "Corrected"), 9: fix(known.get(9), "title.site_number", 9)}
-    return parse_pages(pages, fixes).select("site_number", F.col("title.name").alias("name"), "override_status")
+    return parse_pages(spread(pages), fixes).select("site_number", F.col("title.name").alias("name"), "override_status")
 
 
 @query(f"""WITH {_S}, a AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'new' WHEN k % 9 = 1 THEN 'changed' ELSE 'same' END AS change FROM s) SELECT k AS site_number, change FROM a WHERE change <> 'same'""")
