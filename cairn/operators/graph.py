@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.geodesy import krueger
+from cairn.functions.geodesy import footpoint
+from cairn.operators.once import once
+
+#: Nodes of a frontier that is sent to every task; a larger one meets the edges by an exchange.
+FEW = 100_000
 
 
 def neighbourhood(edges: DataFrame, source: str, target: str, start: DataFrame, depth: int = 1) -> DataFrame:
     """node, depth: nodes within max(1, depth) steps of ``start`` (column node) in either direction; cycle-safe."""
-    both = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).unionByName(edges.select(F.col(target).alias("node"), F.col(source).alias("next"))).where("node <> next").distinct()
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    both = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).unionByName(edges.select(F.col(target).alias("node"), F.col(source).alias("next"))).where("node <> next")
+    seen = once(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen.select("node")
     for step in range(1, max(1, depth) + 1):
-        frontier = frontier.join(both, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        # Edges meet the frontier as they are read, and only what they lead to is made distinct: never all edges.
+        few = frontier.limit(FEW + 1).count() <= FEW
+        reached = both.join(F.broadcast(frontier) if few else frontier, "node", "left_semi").select(F.col("next").alias("node"))
+        frontier = once(reached.distinct().join(seen, "node", "left_anti"))
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(step)))
     return seen
 
@@ -40,6 +47,5 @@ def radius_join(points: DataFrame, key: str, x: str, y: str, radius: float) -> D
 
 
 def utm_to_wgs84(easting: Column, northing: Column, zone: int = 30) -> tuple[Column, Column]:
-    """Latitude and longitude (degrees, 7 places) of UTM coordinates on the northern half."""
-    lat, lon = krueger(easting, northing, zone, F)
-    return F.round(lat, 7), F.round(lon, 7)
+    """Latitude and longitude (degrees, not rounded: a reader that rounds would round twice) of UTM coordinates on the northern half."""
+    return footpoint(easting, northing, zone, F)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import graph, relational, retrieval
+from cairn.operators.once import stored
 from cairn.plans import embedding, model, quality
 from cairn.sources import pages
 
@@ -130,8 +131,8 @@ class Filters:
 Encoder = Callable[[str], list[float]]
 
 
-def search_passages(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int = 10, encode: Encoder | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """chunk_id, site_number, kind, text, score, snippet, best first.
+def search_passages(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int | None = 10, encode: Encoder | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """chunk_id, site_number, kind, text, score, snippet, best first; every passage found where ``limit`` is None.
 
     With ``encode`` and a table ``vector`` words and vectors are fused; an encoder that fails leaves the words alone, one
     whose package is missing is an error.
@@ -155,28 +156,35 @@ def search_passages(own: dict[str, DataFrame], query: str, filters: Filters = Fi
     def mark(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: retrieval.snippet(text, terms))
 
-    found = own["chunk"].join(F.broadcast(best), "chunk_id")  # at most ``limit`` rows
+    found = own["chunk"].join(best if limit is None else F.broadcast(best), "chunk_id")  # at most ``limit`` rows
     return found.select("chunk_id", "site_number", "kind", "text", "score", mark("text").alias("snippet")).orderBy(F.desc("score"), "chunk_id")
 
 
-def search_sites(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int = 10, encode: Encoder | None = None) -> DataFrame:
-    """site_number, name, area_raw, score, n, snippet: sites by their passages, or by name where no passage matches."""
-    found = search_passages(own, query, filters, SITE_POOL, encode)
-    # SITE_POOL rows at most: searched once, whichever way it goes on.
-    pool = own["site"].sparkSession.createDataFrame(found.collect(), found.schema)
-    if pool.isEmpty():
+def search_sites(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int | None = 10, encode: Encoder | None = None, pool: int | None = SITE_POOL) -> DataFrame:
+    """site_number, name, area_raw, score, n, snippet: sites by their passages, or by name where no passage matches.
+
+    The best ``pool`` passages are looked at, all of them where it is None; so are all sites given where ``limit`` is.
+    """
+    # Searched once, whichever way it goes on.
+    found = stored(search_passages(own, query, filters, pool, encode))
+    if found.isEmpty():
         return names_like(own, query, filters, limit)
-    best = retrieval.roll_up(pool, "site_number", "score", "snippet")
-    return own["site"].select("site_number", "name", "area_raw").join(F.broadcast(best), "site_number").orderBy(F.desc("score"), "site_number").limit(limit)  # at most SITE_POOL rows
+    best = retrieval.roll_up(found, "site_number", "score", "snippet")
+    best = best if pool is None else F.broadcast(best)  # at most ``pool`` rows
+    return _first(own["site"].select("site_number", "name", "area_raw").join(best, "site_number").orderBy(F.desc("score"), "site_number"), limit)
+
+
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
 
 
-def names_like(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int = 10) -> DataFrame:
+def names_like(own: dict[str, DataFrame], query: str, filters: Filters = Filters(), limit: int | None = 10) -> DataFrame:
     """Sites whose name or alias holds the query, longest first, with score 0."""
     kept = filters.sites(own)
     sites = own["site"] if kept is None else own["site"].join(kept, "site_number", "left_semi")
     other = own["site_alias"].where(F.col("text").ilike(f"%{query}%")).select("site_number").distinct().withColumn("_alias", F.lit(True))
     hit = F.col("name_sort").contains(query.lower()) | F.col("name").ilike(f"%{query}%") | F.col("_alias").isNotNull()
-    out = sites.join(other, "site_number", "left").where(hit).orderBy(F.desc_nulls_last("length_m"), "site_number").limit(limit)
+    out = _first(sites.join(other, "site_number", "left").where(hit).orderBy(F.desc_nulls_last("length_m"), "site_number"), limit)
     return out.select("site_number", "name", "area_raw", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"), F.lit("(name match)").alias("snippet"))
 
 

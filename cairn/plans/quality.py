@@ -20,6 +20,7 @@ LOW = 0.8
 
 
 Found = Column
+Region = tuple[tuple[int, int], tuple[int, int]]
 _FIND = "struct<detail:string,excerpt:string,char_offset:int>"
 
 
@@ -52,12 +53,12 @@ def _quoted(text: Column, most: int) -> Column:
     return F.concat(F.lit("'"), F.left(text, F.lit(most)), F.lit("'"))
 
 
-def _checks() -> list[tuple[str, str, str | None, Found]]:
+def _checks(region: Region = fixed.REGION) -> list[tuple[str, str, str | None, Found]]:
     """Code, severity, place, finds."""
     note = lambda name: F.col(f"notes.{name}")
     lacks = lambda name: ~F.col("segments_found")[name]
     title, header, cites, quantities, places = F.col("title"), F.col("header").isNotNull(), "footer.citations", "header.quantities", "header.coordinates"
-    far = lambda c: ~(c["easting"].between(*fixed.EASTINGS) & c["northing"].between(*fixed.NORTHINGS))
+    far = lambda c: ~(c["easting"].between(*region[0]) & c["northing"].between(*region[1]))
     said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     shown = lambda name, text: F.transform(note(name), lambda x: _find(text, x["excerpt"], x["char_offset"]))
     in_words = lambda q: q["kind"] == "prose"
@@ -116,13 +117,13 @@ def _unknown_labels() -> Column:
     return _having("footer.fields", lambda f: ~f["is_known_label"])
 
 
-def _list() -> Column:
+def _list(region: Region = fixed.REGION) -> Column:
     """Anomalies of a record, one entry for each find of a check."""
 
     def entry(code: str, severity: str, path: str | None):
         return lambda x: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(path).cast("string").alias("field_path"), x["detail"].alias("detail"), x["excerpt"].alias("excerpt"), x["char_offset"].alias("char_offset"))
 
-    return F.concat(*[F.transform(F.coalesce(found, F.array().cast(f"array<{_FIND}>")), entry(code, severity, path)) for code, severity, path, found in _checks()])
+    return F.concat(*[F.transform(F.coalesce(found, F.array().cast(f"array<{_FIND}>")), entry(code, severity, path)) for code, severity, path, found in _checks(region)])
 
 
 def _scores() -> Column:
@@ -144,24 +145,24 @@ def _scores() -> Column:
     return F.create_map(*pairs)
 
 
-def anomaly(silver: DataFrame) -> DataFrame:
-    """site_number, ordinal, code, severity, field_path, detail, excerpt, char_offset."""
-    return silver.select("site_number", F.posexplode(_list()).alias("ordinal", "x")).select("site_number", "ordinal", "x.*")
+def anomaly(silver: DataFrame, region: Region = fixed.REGION) -> DataFrame:
+    """site_number, ordinal, code, severity, field_path, detail, excerpt, char_offset; ``region``: where coordinates lie."""
+    return silver.select("site_number", F.posexplode(_list(region)).alias("ordinal", "x")).select("site_number", "ordinal", "x.*")
 
 
-def parse_run(silver: DataFrame) -> DataFrame:
+def parse_run(silver: DataFrame, region: Region = fixed.REGION) -> DataFrame:
     """One row a page: digest, segments found, confidence by section, its minimum, how many anomalies and the gravest."""
-    out = silver.withColumns({"confidence": _scores(), "_found": F.transform(_list(), lambda a: a["severity"])})
+    out = silver.withColumns({"confidence": _scores(), "_found": F.transform(_list(region), lambda a: a["severity"])})
     gravest = reduce(lambda acc, s: acc.when(F.array_contains("_found", s), s), SEVERITIES[::-1], F.when(F.lit(False), F.lit(None).cast("string")))
     return out.select("site_number", "content_sha256", "segments_found", "confidence", F.array_min(F.map_values("confidence")).alias("min_confidence"), F.size("_found").alias("anomaly_count"), gravest.alias("max_severity"))
 
 
-def review(silver: DataFrame, severity: str = "warn", code: str | None = None, limit: int = 50) -> DataFrame:
+def review(silver: DataFrame, severity: str = "warn", code: str | None = None, limit: int = 50, region: Region = fixed.REGION) -> DataFrame:
     """site_number, name, min_confidence, hits, codes of pages with anomalies of a severity or graver, the least sure first."""
     if severity not in SEVERITIES:
         raise ValueError(f"severity is one of {', '.join(SEVERITIES)}")
     wanted = SEVERITIES[SEVERITIES.index(severity) :]
-    found = F.transform(F.filter(_list(), lambda a: a["severity"].isin(*wanted) & (F.lit(True) if code is None else a["code"] == code)), lambda a: a["code"])
+    found = F.transform(F.filter(_list(region), lambda a: a["severity"].isin(*wanted) & (F.lit(True) if code is None else a["code"] == code)), lambda a: a["code"])
     out = silver.select("site_number", F.col("title.name").alias("name"), F.array_min(F.map_values(_scores())).alias("min_confidence"), found.alias("_codes"))
     out = out.select("site_number", "name", "min_confidence", F.size("_codes").alias("hits"), F.array_join(F.array_sort(F.array_distinct("_codes")), ",").alias("codes"))
     return out.where("hits > 0").orderBy("min_confidence", F.desc("hits"), "site_number").limit(limit)
@@ -174,12 +175,12 @@ def low_confidence(silver: DataFrame, below: float = LOW) -> DataFrame:
     return out.where(F.col("min_confidence") < below).orderBy("min_confidence", "site_number")
 
 
-def audit(silver: DataFrame, below: float = LOW) -> DataFrame:
+def audit(silver: DataFrame, below: float = LOW, region: Region = fixed.REGION) -> DataFrame:
     """label, value: pages, stubs, pages below a confidence, and anomalies by severity and by code."""
     pages = silver.agg(F.count("*").alias("pages"), F.count_if("is_stub").alias("stubs"), F.count_if(F.array_min(F.map_values(_scores())) < below).alias("low_confidence"))
     totals = pages.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in pages.columns])).alias("x")).select("x.*")
     labels = F.explode(F.array(F.concat(F.lit("severity_"), "severity"), F.concat(F.lit("code_"), "code")))
-    return totals.unionByName(anomaly(silver).select(labels.alias("label")).groupBy("label").agg(F.count("*").alias("value")))
+    return totals.unionByName(anomaly(silver, region).select(labels.alias("label")).groupBy("label").agg(F.count("*").alias("value")))
 
 
 def coverage(silver: DataFrame, listed: int = 8) -> DataFrame:

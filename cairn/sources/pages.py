@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cairn.functions import fixed
+from cairn.operators.once import bounded
+
 _LINK = "array<struct<href:string,text:string,bucket:string,target_site:int,is_range:boolean,unquoted_in_source:boolean>>"
 _FIND = "array<struct<excerpt:string,char_offset:int>>"
 #: The nested record of a page; error: why a page gave none.
@@ -31,6 +34,10 @@ notes struct<blank:boolean,mojibake:{_FIND},replaced:{_FIND},body_tag:boolean,bo
 passages array<struct<kind:string,text:string,section_heading:string,block_first:int,block_last:int>>, error string"""
 
 
+#: Pages whose records are made at once.
+AT_ONCE = 64
+
+
 def page_name(number: int) -> str:
     return f"{number:04d}.htm"
 
@@ -43,12 +50,13 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"(\d{4})\.htm$", 1).cast("int").alias("site_number"), "path", "content", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
-def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None) -> DataFrame:
+def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, region: tuple[tuple[int, int], tuple[int, int]] = fixed.REGION) -> DataFrame:
     """The nested record of every page, with path, size and digest. Write it once; every table below reads it.
 
-    ``overrides`` are written by hand, one file a site, so they travel with the task.
+    ``overrides`` are written by hand, one file a site, so they travel with the task. ``region``: where its coordinates lie.
     """
     fixes = overrides or {}
+    bounded(pages.sparkSession)
     kept = "path string, byte_size long, content_sha256 string"
     schema = to_arrow_schema(pages.sparkSession.createDataFrame([], RECORD).schema)
 
@@ -56,7 +64,7 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None) -> D
         from cairn.functions.pages import parse_page
 
         try:
-            record = parse_page(number, raw, fixes.get(number))
+            record = parse_page(number, raw, fixes.get(number), region)
         except Exception as e:  # a page that cannot be read is a row that says so, not a failed build
             return {"site_number": number, "error": f"{type(e).__name__}: {e}"}
         for own in (record["segments_found"], *record["body"]["bat_observations"]):
@@ -65,8 +73,10 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = pa.RecordBatch.from_pylist([parse(n, raw) for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], schema)
-            yield pa.RecordBatch.from_arrays([*own.columns, *b.columns[2:]], [*own.schema.names, *b.schema.names[2:]])
+            # Records are many times their page, so few of them are held at once.
+            for part in (b.slice(i, AT_ONCE) for i in range(0, b.num_rows, AT_ONCE)):
+                own = pa.RecordBatch.from_pylist([parse(n.as_py(), raw.as_py()) for n, raw in zip(part.column(0), part.column(1), strict=True)], schema)
+                yield pa.RecordBatch.from_arrays([*own.columns, *part.columns[2:]], [*own.schema.names, *part.schema.names[2:]])
 
     return pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, f"{RECORD}, {kept}")
 
