@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cairn.functions import fixed
 from cairn.operators.once import bounded
@@ -50,15 +51,20 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.regexp_extract("path", r"(\d{4})\.htm$", 1).cast("int").alias("site_number"), "path", "content", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
-def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, region: tuple[tuple[int, int], tuple[int, int]] = fixed.REGION) -> DataFrame:
+def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, region: tuple[tuple[int, int], tuple[int, int]] = fixed.REGION, parts: tuple[str, ...] | None = None) -> DataFrame:
     """The nested record of every page, with path, size and digest. Write it once; every table below reads it.
 
     ``overrides`` are written by hand, one file a site, so they travel with the task. ``region``: where its coordinates lie.
+    ``parts``: columns of the record that are read; every page is parsed whole, but the others are not handed on: they are null.
     """
     fixes = overrides or {}
     bounded(pages.sparkSession)
     kept = "path string, byte_size long, content_sha256 string"
-    schema = to_arrow_schema(pages.sparkSession.createDataFrame([], RECORD).schema)
+    record = pages.sparkSession.createDataFrame([], RECORD).schema
+    if unknown := set(parts or ()) - set(record.names):
+        raise ValueError(f"no columns of a record: {', '.join(sorted(unknown))}")
+    wanted = StructType([f for f in record if parts is None or f.name in ("site_number", "error", *parts)])
+    schema = to_arrow_schema(wanted)
 
     def parse(number: int, raw: bytes) -> dict:
         from cairn.functions.pages import parse_page
@@ -78,7 +84,10 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, regi
                 own = pa.RecordBatch.from_pylist([parse(n.as_py(), raw.as_py()) for n, raw in zip(part.column(0), part.column(1), strict=True)], schema)
                 yield pa.RecordBatch.from_arrays([*own.columns, *part.columns[2:]], [*own.schema.names, *part.schema.names[2:]])
 
-    return pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, f"{RECORD}, {kept}")
+    given = StructType([*wanted, *pages.sparkSession.createDataFrame([], kept).schema])
+    out = pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, given)
+    every = [F.col(f.name) if f.name in wanted.names else F.lit(None).cast(f.dataType).alias(f.name) for f in record]
+    return out.select(*every, *given.names[len(wanted) :])
 
 
 def presence(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import body, pages, text
 from cairn.functions.geodesy import utm_to_degrees
 from cairn.operators import graph, retrieval
 from cairn.plans import library, page_queries
+from cairn.sources.pages import parse_pages
 
 
 def test_numbers_have_four_digits_or_more():
@@ -83,3 +85,25 @@ def test_breaks_are_those_of_the_sql(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["blocks"] for r in page_queries.page_breaks(spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 1, 3: 2, 4: None, 5: 2}
+
+
+def test_records_hand_on_the_parts_that_are_asked_for(spark):
+    pages = page_queries.site_pages(spark, "/root/testdata/sf0.001")
+    whole = pages_of(pages, None)
+    some = pages_of(pages, ("header",))
+    assert some.columns == whole.columns and [f.dataType for f in some.schema] == [f.dataType for f in whole.schema]
+    same = ["site_number", "header", "content_sha256", "error"]
+    assert sorted(map(str, some.select(same).collect())) == sorted(map(str, whole.select(same).collect()))
+    assert some.where("updated IS NOT NULL OR passages IS NOT NULL OR body IS NOT NULL").isEmpty()
+    with pytest.raises(ValueError):
+        pages_of(pages, ("heading",))
+
+
+def pages_of(pages, parts):
+    return parse_pages(pages, region=page_queries.REGION, parts=parts)
+
+
+def test_days_are_written_in_full(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1996-01-01', DATE'1996-12-31')) AS d").select("d", page_queries._day(F.col("d")).alias("s")).collect()
+    ends = {1: "st", 2: "nd", 3: "rd", 21: "st", 22: "nd", 23: "rd", 31: "st"}
+    assert all(r["s"] == f"{r['d'].day}{ends.get(r['d'].day, 'th')} {r['d']:%B %Y}" for r in days) and len(days) == 366
