@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from cairn.functions import fixed
 from cairn.operators.once import bounded
@@ -55,27 +55,30 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, regi
     """The nested record of every page, with path, size and digest. Write it once; every table below reads it.
 
     ``overrides`` are written by hand, one file a site, so they travel with the task. ``region``: where its coordinates lie.
-    ``parts``: columns of the record that are read; every page is parsed whole, but the others are not handed on: they are null.
+    ``parts``: what is read of the record, columns or fields of them (``body.tables``); every page is segmented whole, but
+    nothing else is made of its segments, and the other columns and fields are null.
     """
     fixes = overrides or {}
     bounded(pages.sparkSession)
     kept = "path string, byte_size long, content_sha256 string"
     record = pages.sparkSession.createDataFrame([], RECORD).schema
-    if unknown := set(parts or ()) - set(record.names):
+    known = {*record.names, *(f"{f.name}.{x.name}" for f in record if isinstance(f.dataType, StructType) for x in f.dataType)}
+    if unknown := set(parts or ()) - known:
         raise ValueError(f"no columns of a record: {', '.join(sorted(unknown))}")
-    wanted = StructType([f for f in record if parts is None or f.name in ("site_number", "error", *parts)])
+    wanted = StructType([x for f in record if (x := f if parts is None else _narrow(f, ("site_number", "error", *parts)))])
     schema = to_arrow_schema(wanted)
+    asked = None if parts is None else frozenset(parts)
 
     def parse(number: int, raw: bytes) -> dict:
         from cairn.functions.pages import parse_page
 
         try:
-            record = parse_page(number, raw, fixes.get(number), region)
+            record = parse_page(number, raw, fixes.get(number), region, asked)
         except Exception as e:  # a page that cannot be read is a row that says so, not a failed build
             return {"site_number": number, "error": f"{type(e).__name__}: {e}"}
-        for own in (record["segments_found"], *record["body"]["bat_observations"]):
-            own |= {"fields": list(own["fields"].items())} if "fields" in own else {}
-        return record | {"segments_found": list(record["segments_found"].items())}
+        for own in (record.get("body") or {}).get("bat_observations", []):
+            own |= {"fields": list(own["fields"].items())}
+        return record | {"segments_found": list(record["segments_found"].items())} if "segments_found" in record else record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,10 +89,26 @@ def parse_pages(pages: DataFrame, overrides: dict[int, dict] | None = None, regi
 
     given = StructType([*wanted, *pages.sparkSession.createDataFrame([], kept).schema])
     out = pages.select("site_number", "content", "path", "byte_size", "content_sha256").mapInArrow(run, given)
-    every = [F.col(f.name) if f.name in wanted.names else F.lit(None).cast(f.dataType).alias(f.name) for f in record]
+    every = [_widen(f, wanted[f.name]) if f.name in wanted.names else F.lit(None).cast(f.dataType).alias(f.name) for f in record]
     return out.select(*every, *given.names[len(wanted) :])
 
 
+def _narrow(column: StructField, parts: tuple[str, ...]) -> StructField | None:
+    """The column with the fields that ``parts`` name, all of them where it is named itself."""
+    if column.name in parts:
+        return column
+    own = [x for x in column.dataType if f"{column.name}.{x.name}" in parts] if isinstance(column.dataType, StructType) else []
+    return StructField(column.name, StructType(own)) if own else None
+
+
+def _widen(column: StructField, given: StructField) -> Column:
+    """A column of the record from one with some of its fields; the others are null."""
+    if column.dataType == given.dataType:
+        return F.col(column.name)
+    fields = [F.col(f"{column.name}.{x.name}") if x.name in given.dataType.names else F.lit(None).cast(x.dataType).alias(x.name) for x in column.dataType]
+    return F.when(F.col(column.name).isNotNull(), F.struct(*fields)).alias(column.name)
+
+
 def presence(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
     """site_number, present for every number of the range; empty files count as absent."""
     have = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9][0-9][0-9][0-9].htm").load(folder).where("length > 0").select(F.regexp_extract("path", r"(\d{4})\.htm$", 1).cast("int").alias("n"), F.lit(True).alias("present"))
