@@ -281,9 +281,17 @@ def audit(own: dict[str, DataFrame], found: DataFrame) -> tuple[DataFrame, DataF
 def evaluate(own: dict[str, DataFrame], questions: DataFrame, at: int = 10, encode: Encoder | None = None) -> DataFrame:
     """kind, queries, recall of an evaluation set, which is written by hand: each question is one search of a pool, cut to ``at`` sites."""
     spark, rows = own["site"].sparkSession, questions.collect()
-    pools = [retrieval.ranked(search_passages(own, q["query"], Filters(), at * 6, encode), [F.desc("score"), F.col("chunk_id")]).select(F.lit(i).alias("query"), "site_number", "rank") for i, q in enumerate(rows)]
+    best = [F.desc("score"), F.col("chunk_id")]
     # One job for all questions: each pool holds 6 * at rows.
-    first = reduce(DataFrame.unionByName, pools).groupBy("query", "site_number").agg(F.min("rank").alias("first"))
+    if encode is None:
+        # By words alone: the passages are split once for all questions.
+        found = retrieval.bm25_each(own["chunk"], "chunk_id", "text", [retrieval.escape_query(q["query"]) for q in rows], k=at * 6)
+        every = reduce(DataFrame.unionByName, [f.select(F.lit(i).alias("query"), "chunk_id", "score") for i, f in enumerate(found)])
+        pools = retrieval.ranked(own["chunk"].select("chunk_id", "site_number").join(F.broadcast(every), "chunk_id"), best, ["query"])
+    else:
+        each = [retrieval.ranked(search_passages(own, q["query"], Filters(), at * 6, encode), best).select(F.lit(i).alias("query"), "site_number", "rank") for i, q in enumerate(rows)]
+        pools = reduce(DataFrame.unionByName, each)
+    first = pools.groupBy("query", "site_number").agg(F.min("rank").alias("first"))
     hits = retrieval.ranked(first, ["first"], ["query"]).where(F.col("rank") <= at).select("query", F.col("site_number").alias("key"), "rank")
     expected = spark.createDataFrame([(i, int(n), q["kind"]) for i, q in enumerate(rows) for n in q["expect"]], "query int, key int, kind string")
     return retrieval.recall(hits, expected, ["kind"], at)

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from cairn.functions import body, markup, pages, passages
-from cairn.plans import page_queries
+from cairn.operators import retrieval
+from cairn.plans import library, page_queries
 from cairn.sources.pages import parse_pages
 
 PAGE = (
@@ -57,3 +58,16 @@ def test_groups_of_full_dates_are_kept():
     pages._full.cache_clear()
     pages.parse_updated(line)
     assert pages._full.cache_info().currsize >= 3
+
+
+def test_queries_of_a_set_split_the_passages_once(spark, monkeypatch):
+    rows = [(i, "site 0042 and its cave" if i % 3 else "another cave of cave-divers", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string, site_number int")
+    queries = [["site", "0042"], ["cave"], [], ["cave-divers", "cave", "cave"]]
+    alone = [[tuple(r) for r in retrieval.bm25(docs, "chunk_id", "text", q, k=7).collect()] for q in queries]
+    counted, kept = [], retrieval.once
+    monkeypatch.setattr(retrieval, "once", lambda df: counted.append(1) or kept(df))
+    assert [[tuple(r) for r in d.collect()] for d in retrieval.bm25_each(docs, "chunk_id", "text", queries, k=7)] == alone and len(counted) == 1
+    asked = spark.createDataFrame([("site 0042", [1, 2], "a"), ("divers", [0], "b"), ("", [5], "c")], "query string, expect array<int>, kind string")
+    got = {r["kind"]: r["recall"] for r in library.evaluate({"chunk": docs, "site": docs}, asked).collect()}
+    assert len(counted) == 2 and got == {"a": 1.0, "b": 1.0, "c": 0.0}
